@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytequarry.llm import hash_tree, mixing, token_hist
+from bytequarry.llm import hash_tree, mixing, nbest_pieces, ppm_langid, token_hist
 from bytequarry.session import table
 
 #: 4 regions of 2 racks of 5 shards.
@@ -26,10 +26,22 @@ def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = ppm_langid.predict(documents.select("doc_id", "text"), ppm_langid.fit(documents))
+    return found.select("doc_id", ppm_langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbest_pieces.segmentation_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_histogram": op3_token_histogram,
     "op7_hash_tree": op7_hash_tree,
+    "op8_ppm_language": op8_ppm_language,
+    "op10_nbest_pieces": op10_nbest_pieces,
 }
 
 ORACLES = {"op1_mixing": mixing.MIX_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
