@@ -28,6 +28,7 @@ from operator import itemgetter
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -278,6 +279,7 @@ def encode_nbest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
     """All columns of ``rows`` and ``text``, the text that the ids spell (null for null)."""
+    rows = rows.drop("text")
     column = rows.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,7 +288,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Dat
             texts = [None if x is None else pieces.decode(x) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return rows.drop("text").mapInArrow(run, rows.drop("text").schema.add("text", "string"))
+    return rows.mapInArrow(run, StructType(rows.schema.fields).add("text", "string"))
 
 
 def segmentation_digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model: str = MODEL) -> DataFrame:

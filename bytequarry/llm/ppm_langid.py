@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from bytequarry.llm.common import draw, id_text
 
@@ -222,7 +223,7 @@ def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -
     empty table gives no rows. Columns of those two names are replaced.
     """
     documents = documents.drop("lang_pred", "score")
-    schema = documents.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType(documents.schema.fields).add("lang_pred", "string").add("score", "double")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     column = documents.columns.index(text_col)
 
