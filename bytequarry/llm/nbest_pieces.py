@@ -288,7 +288,7 @@ def decode_ids(rows: DataFrame, ids_col: str = "ids", model: str = MODEL) -> Dat
             texts = [None if x is None else pieces.decode(x) for x in batch.column(column).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "text"])
 
-    return rows.mapInArrow(run, StructType(rows.schema.fields).add("text", "string"))
+    return rows.mapInArrow(run, StructType(list(rows.schema.fields)).add("text", "string"))
 
 
 def segmentation_digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N_BEST, model: str = MODEL) -> DataFrame:

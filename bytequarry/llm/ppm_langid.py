@@ -223,7 +223,7 @@ def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -
     empty table gives no rows. Columns of those two names are replaced.
     """
     documents = documents.drop("lang_pred", "score")
-    schema = StructType(documents.schema.fields).add("lang_pred", "string").add("score", "double")
+    schema = StructType(list(documents.schema.fields)).add("lang_pred", "string").add("score", "double")
     shared = documents.sparkSession.sparkContext.broadcast(model)
     column = documents.columns.index(text_col)
 
