@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bytequarry.llm import hash_tree, mixing, nbest_pieces, ppm_langid, token_hist
+from bytequarry.llm import hash_tree, mixing, nbest_pieces, pii_crf, ppm_langid, token_hist
 from bytequarry.session import table
 
 #: 4 regions of 2 racks of 5 shards.
@@ -21,6 +21,12 @@ def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.context_totals(token_hist.length_histogram(lengths))
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii_crf.detect(documents, pii_crf.fit(documents))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")
+
+
 def op7_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = hash_tree.assign_shards(table(spark, sf_dir, "documents"), TOPOLOGY)
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -39,6 +45,7 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_histogram": op3_token_histogram,
+    "op6_pii_crf": op6_pii_crf,
     "op7_hash_tree": op7_hash_tree,
     "op8_ppm_language": op8_ppm_language,
     "op10_nbest_pieces": op10_nbest_pieces,
