@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bytequarry.llm import hash_tree, mixing, nbest_pieces, pii_crf, ppm_langid, token_hist
+from bytequarry.llm import hash_tree, mixing, nbest_pieces, pii_crf, ppm_langid, pruned_graph, token_hist, voronoi_topk
 from bytequarry.session import table
 
 #: 4 regions of 2 racks of 5 shards.
@@ -21,6 +22,10 @@ def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_hist.context_totals(token_hist.length_histogram(lengths))
 
 
+def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return voronoi_topk.topk_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = pii_crf.detect(documents, pii_crf.fit(documents))
@@ -38,6 +43,10 @@ def op8_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", ppm_langid.held_out("doc_id").alias("held_out"), "lang_pred", "score")
 
 
+def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pruned_graph.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbest_pieces.segmentation_digests(table(spark, sf_dir, "documents"))
 
@@ -45,10 +54,12 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_histogram": op3_token_histogram,
+    "op4_voronoi_topk": op4_voronoi_topk,
     "op6_pii_crf": op6_pii_crf,
     "op7_hash_tree": op7_hash_tree,
     "op8_ppm_language": op8_ppm_language,
+    "op9_pruned_graph": op9_pruned_graph,
     "op10_nbest_pieces": op10_nbest_pieces,
 }
 
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op4_voronoi_topk": voronoi_topk.TOPK_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
