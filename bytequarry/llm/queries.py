@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import hash_tree, mixing, nbest_pieces, pii_crf, ppm_langid, pruned_graph, token_hist, voronoi_topk
+from bytequarry.llm import hash_tree, minhash_bbit, mixing, nbest_pieces, pii_crf, ppm_langid, pruned_graph, token_hist, voronoi_topk
 from bytequarry.session import table
 
 #: 4 regions of 2 racks of 5 shards.
@@ -26,6 +26,11 @@ def op4_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return voronoi_topk.topk_join(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash_bbit.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     found = pii_crf.detect(documents, pii_crf.fit(documents))
@@ -55,6 +60,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_token_histogram": op3_token_histogram,
     "op4_voronoi_topk": op4_voronoi_topk,
+    "op5_minhash_bbit": op5_minhash_bbit,
     "op6_pii_crf": op6_pii_crf,
     "op7_hash_tree": op7_hash_tree,
     "op8_ppm_language": op8_ppm_language,
@@ -62,4 +68,4 @@ QUERIES = {
     "op10_nbest_pieces": op10_nbest_pieces,
 }
 
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op4_voronoi_topk": voronoi_topk.TOPK_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op4_voronoi_topk": voronoi_topk.TOPK_SQL, "op5_minhash_bbit": minhash_bbit.NEAR_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
