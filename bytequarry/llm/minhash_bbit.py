@@ -271,15 +271,17 @@ def _open_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame | None
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, class_key of every row.
+    """doc_id, n_shingles, component_id, kept, text_hash, group_key of every row.
 
     Words are runs without ASCII white space, A to Z in lower case; a document's
     set holds its distinct 5-word shingles, or the whole sequence if it has fewer
     words. Null and empty texts have empty sets and are linked with nothing.
     ``component_id`` is the smallest id reachable over links, ``kept`` tells
     whether it is the row's own. Null ids are never the smallest unless all of
-    the group are; repeated rows share a group and are kept or not alike. An
-    empty table gives no rows; other columns are ignored.
+    the group are; repeated rows share a group and are kept or not alike (see
+    ``without_duplicates``). ``group_key`` names the group whatever its ids, and
+    is null for an empty set. An empty table gives no rows; other columns are
+    ignored.
     """
     drawn = materialize(sketches(documents, id_col, text_col), "sketches")
     full = drawn.where(F.col("key").isNotNull())
@@ -315,17 +317,45 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     if labels is not None:
         rooted = found.join(labels, "key")
         least = rooted.groupBy("root").agg(F.min("first_id").alias("least"))
-        linked = rooted.join(least, "root").select("key", "least")
-        found = found.join(linked, "key", "left").select("key", F.coalesce("least", "first_id").alias("component_id"))
+        linked = rooted.join(least, "root").select("key", "root", "least")
+        found = found.join(linked, "key", "left").select("key", F.coalesce("root", "key").alias("group_key"), F.coalesce("least", "first_id").alias("component_id"))
     else:
-        found = found.select("key", F.col("first_id").alias("component_id"))
-    out = drawn.select("doc_id", "n_shingles", "key").join(found, "key", "left")
+        found = found.select("key", F.col("key").alias("group_key"), F.col("first_id").alias("component_id"))
+    out = drawn.select("doc_id", "text_hash", "n_shingles", "key").join(found, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), F.col("key").alias("class_key")
+        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "text_hash", "group_key"
     )
 
 
+def without_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` with one row of each group left: that with the smallest id (then text hash).
+
+    Rows with empty sets are linked with nothing, so all of them stay. Of equal
+    rows that repeat the one that stays, one is left.
+    """
+    found = near_duplicates(documents, id_col, text_col).select("doc_id", "text_hash", "group_key")
+    found = materialize(found.where(F.col("group_key").isNotNull()), "groups")
+    rows = found.groupBy("doc_id", "text_hash", "group_key").agg(F.count("*").alias("copies"))
+    first = found.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    rows = rows.join(first, "group_key")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
+    rows = materialize(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays"), "copies"), "verdicts")
+    tagged = documents.withColumn("__text_hash", F.xxhash64(F.col(text_col).cast("string")))
+    gone = rows.where(~F.col("__stays"))
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    match = tagged[id_col].eqNullSafe(F.col("__id")) & (tagged["__text_hash"] == F.col("__hash"))
+    left = tagged.join(gone, match, "left_anti")
+    again = rows.where(F.col("__stays") & (F.col("copies") > 1))
+    n = again.count()
+    if n:
+        again = F.broadcast(again) if n <= BROADCAST_IDS else again
+        match = left[id_col].eqNullSafe(F.col("__id")) & (left["__text_hash"] == F.col("__hash"))
+        once = left.join(again, match, "left_semi").dropDuplicates([id_col, "__text_hash"])
+        left = left.join(again, match, "left_anti").union(once)
+    return left.drop("__text_hash")
+
+
 def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame | None:
     """key, root of every class that is linked to another, or None."""
     facts = classes.select("key", F.col("n_shingles").alias("n"), "packed")
@@ -348,7 +378,7 @@ def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     return labels
 
 
-#: DuckDB SQL for the rows of ``near_duplicates`` over documents, without ``class_key``.
+#: DuckDB SQL for the rows of ``near_duplicates`` over documents, without ``text_hash`` and ``group_key``.
 NEAR_SQL = f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents),

@@ -23,6 +23,8 @@ SHARE = 1.5
 #: No document is taken more often than this.
 REPEATS = 2
 SEED = "mix-1"
+#: Verdicts on up to this many rows (some 40 bytes each) are broadcast, more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def _source_key(source: str) -> Column:
@@ -137,6 +139,26 @@ def mix(
     )
 
 
+def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``documents``, each as often as the mix takes it, with the same columns.
+
+    Rows are told apart by id and text; equal rows stand for one another, and
+    together come as often as the mix takes them.
+    """
+    row = F.concat(id_text(id_col), F.lit("|"), F.xxhash64(F.col(text_col).cast("string")).cast("string"))
+    tagged = documents.withColumn("__row", row)
+    taken = mix(tagged, id_col="__row", text_col=text_col, source_col=source_col, **options)
+    taken = taken.groupBy(F.col("doc_id").alias("__row")).agg(F.sum("copies").cast("int").alias("__copies"), F.count("*").alias("__rows"))
+    taken = materialize(taken.where("__copies > 0"), "mix-copies")
+    again = taken.where("__rows > 1").select("__row")
+    if again.limit(1).count():
+        once = tagged.join(again, "__row", "left_semi").dropDuplicates(["__row"])
+        tagged = tagged.join(again, "__row", "left_anti").unionByName(once)
+    taken = F.broadcast(taken) if taken.count() <= BROADCAST_ROWS else taken
+    copies = tagged.join(taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return copies.select(*documents.columns)
+
+
 def _finish(copy: int) -> Column:
     return (F.col("source_size") * copy + F.col("upto")) / F.col("target")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bytequarry.llm import hash_tree, minhash_bbit, mixing, nbest_pieces, pii_crf, ppm_langid, pruned_graph, token_hist, voronoi_topk
-from bytequarry.session import table
+from bytequarry.llm import hash_tree, minhash_bbit, mixing, nbest_pieces, pii_crf, ppm_langid, pruned_graph, token_hist, voronoi_topk, warc
+from bytequarry.session import materialize, table
 
 #: 4 regions of 2 racks of 5 shards.
 TOPOLOGY = hash_tree.Topology.uniform(4, 2, 5)
@@ -17,6 +17,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.write_captures(table(spark, sf_dir, "pages"))
+    records = materialize(warc.read_records(spark, folder), "warc-records")
+    return warc.assemble(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = token_hist.encoded_lengths(table(spark, sf_dir, "documents"))
     return token_hist.context_totals(token_hist.length_histogram(lengths))
@@ -58,6 +64,7 @@ def op10_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_warc_transactions": op2_warc_transactions,
     "op3_token_histogram": op3_token_histogram,
     "op4_voronoi_topk": op4_voronoi_topk,
     "op5_minhash_bbit": op5_minhash_bbit,
@@ -68,4 +75,4 @@ QUERIES = {
     "op10_nbest_pieces": op10_nbest_pieces,
 }
 
-ORACLES = {"op1_mixing": mixing.MIX_SQL, "op4_voronoi_topk": voronoi_topk.TOPK_SQL, "op5_minhash_bbit": minhash_bbit.NEAR_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
+ORACLES = {"op1_mixing": mixing.MIX_SQL, "op2_warc_transactions": warc.ROUND_TRIP_SQL, "op4_voronoi_topk": voronoi_topk.TOPK_SQL, "op5_minhash_bbit": minhash_bbit.NEAR_SQL, "op7_hash_tree": hash_tree.shards_sql(TOPOLOGY)}
