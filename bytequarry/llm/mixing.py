@@ -40,7 +40,8 @@ def source_targets(
     A target is the source's part of the budget by weight, but ``repeats`` times
     its size at most; what is above goes to the others by weight, again until
     none is above. Sorted by size over weight, the sources at their limit come
-    first, so prefix sums give the level in one pass. There is one row a source;
+    first, so prefix sums give the level in one pass: levels fall from the first
+    source below its limit on, so it is the largest that lies below one. There is one row a source;
     the windows below hold the table of sources, never documents.
     """
     rank = Window.orderBy("source_key")
@@ -60,7 +61,7 @@ def source_targets(
     ) / F.sum("weight").over(after)
     ranked = ranked.withColumn("__level", level)
     ranked = ranked.withColumn(
-        "__level", F.min(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(everything)
+        "__level", F.max(F.when(F.col("__level") <= F.col("__ratio"), F.col("__level"))).over(everything)
     )
     target = F.least(F.col("__limit"), F.coalesce(F.col("__level") * F.col("weight"), F.col("__limit")))
     return ranked.select("source_key", "source_size", "rank", "weight", target.alias("target"))
@@ -214,7 +215,7 @@ l AS (SELECT *, lim / weight AS ratio,
       (sum(source_size) OVER () * 1.5::DOUBLE
        - coalesce(sum(lim) OVER (ORDER BY lim / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
       / sum(weight) OVER (ORDER BY lim / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM w),
-t AS (SELECT *, least(lim, coalesce(min(CASE WHEN lv <= ratio THEN lv END) OVER () * weight, lim)) AS target FROM l),
+t AS (SELECT *, least(lim, coalesce(max(CASE WHEN lv <= ratio THEN lv END) OVER () * weight, lim)) AS target FROM l),
 q AS (SELECT d.*, t.source_size, t.target, t.rank,
       sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.k = t.k),
 c AS (SELECT *, (source_size * copy + upto) / target AS vft FROM q, (VALUES (0), (1)) AS x(copy) WHERE size > 0 AND target > 0),
