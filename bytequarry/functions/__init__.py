@@ -1 +1 @@
-
+"""Scalar functions: byte kernels, ladders, strings, checksums, transforms and codecs."""

@@ -22,5 +22,8 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
+from bytequarry.plans import stat_queries  # noqa: E402, F401  (registers its queries)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["classify_region"](spark, sf_dir)
