@@ -9,10 +9,10 @@ estimate is not clearly too low are confirmed on the full sets.
 Documents with equal sets form one class, so copies cost one row. Links need not
 be listed to find the groups: a first round confirms one link a class, to the
 smallest class of one of its buckets. After that only pairs of classes that share
-a bucket and lie in different groups are of interest; a second round confirms the
-likeliest pair of each two groups, a third one every pair that is left. No pair
-that shares a bucket is passed over for any reason but its estimate, its sizes,
-or being in one group already.
+a bucket and lie in different groups are of interest: a second round meets them
+bucket by bucket (large buckets block by block), likeliest first, and links what
+belongs together without listing pairs. No pair that shares a bucket is passed
+over for any reason but its estimate, its sizes, or being in one group already.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ BITS = 2
 #: Least estimate that is confirmed: 4.5 deviations below a true similarity of 0.75.
 LEAST_ESTIMATE = 0.58
 #: Members of a bucket that meet in one task; larger buckets are met block by block.
-BLOCK = 2000
+BLOCK = 1000
 #: Ids of at most this many documents (8 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at a time.
@@ -187,6 +187,12 @@ def _alike_in_size(a: str, b: str) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
+def _is_link(a: np.ndarray, b: np.ndarray) -> bool:
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) else 0
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets are linked."""
     for batch in batches:
@@ -203,8 +209,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sets[key] = value[starts[i] : starts[i + 1]]
         linked = []
         for x, y in zip(a, b):
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            linked.append(100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both))
+            linked.append(_is_link(sets[x], sets[y]))
         yield batch.select(["a", "b"]).filter(pa.array(linked))
 
 
@@ -215,59 +220,80 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(full.select("a", "b", "text_a", "text_b").mapInArrow(_confirm, "a binary, b binary"), "links")
 
 
-def _across(likeliest: bool):
-    """Pairs of a bucket block that lie in different groups and may be linked; only the likeliest of each two groups if so asked."""
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
-        block, n = np.asarray(table.column("block")), np.asarray(table.column("n"))
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        packed = np.array(table.column("packed").to_pylist(), np.int64).view(_U)
-        names = {r: i for i, r in enumerate(sorted(set(roots)))}
-        group = np.array([names[r] for r in roots])
-        out: dict[tuple, tuple] = {}
-        found = []
-        left = np.flatnonzero(block == lo)
-        right = np.flatnonzero(block == hi)
-        for i in left.tolist():
-            other = right[right > i] if lo == hi else right
-            other = other[(group[other] != group[i]) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * PERCENT)]
-            if not len(other):
-                continue
-            x = packed[other] ^ packed[i]
-            share = 1 - np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555)).sum(1) / HASHES
-            score = (share - 0.25) / 0.75
-            for j in np.flatnonzero(score >= LEAST_ESTIMATE).tolist():
-                pair = (min(keys[i], keys[other[j]]), max(keys[i], keys[other[j]]), float(score[j]), *sorted((roots[i], roots[other[j]])))
-                if not likeliest:
-                    found.append(pair)
-                elif pair[3:] not in out or (pair[2], pair[:2]) > (out[pair[3:]][2], out[pair[3:]][:2]):
-                    out[pair[3:]] = pair
-        found += out.values()
-        columns = list(zip(*found)) or [[]] * 5
-        kinds = (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary())
-        return pa.table({name: pa.array(c, t) for name, c, t in zip(("a", "b", "score", "root_a", "root_b"), columns, kinds)})
-
-    return run
-
-
-def _open_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame | None, likeliest: bool) -> DataFrame:
-    """a, b of pairs that share a bucket, lie in different groups and may be linked."""
-    if labels is None:
-        rooted = members.select("band", "key", F.col("key").alias("root"))
-    else:
-        rooted = members.select("band", "key").join(labels, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+def _passing(table: pa.Table) -> list[tuple[float, int, int]]:
+    """(estimate, i, j) of the rows of a bucket block that lie in different groups and may be linked.
+
+    A pair that shares several buckets is met in the first of them only.
+    """
+    roots = table.column("root").to_pylist()
+    block, n = np.asarray(table.column("block")), np.asarray(table.column("n"))
+    lo, hi, band = (table.column(c)[0].as_py() for c in ("lo", "hi", "band"))
+    packed = np.array(table.column("packed").to_pylist(), np.int64).view(_U)
+    bands = np.array(table.column("bands").to_pylist(), np.int64)
+    names = {r: i for i, r in enumerate(set(roots))}
+    group = np.array([names[r] for r in roots])
+    left, right, out = np.flatnonzero(block == lo), np.flatnonzero(block == hi), []
+    for i in left.tolist():
+        other = right[right > i] if lo == hi else right
+        other = other[(group[other] != group[i]) & (np.minimum(n[other], n[i]) * 100 >= np.maximum(n[other], n[i]) * PERCENT)]
+        x = packed[other] ^ packed[i]
+        share = 1 - np.bitwise_count((x | (x >> _U(1))) & _U(0x5555555555555555)).sum(1) / HASHES
+        score = (share - 0.25) / 0.75
+        near = score >= LEAST_ESTIMATE
+        other, score = other[near], score[near]
+        first = bands[i][(bands[other] == bands[i]).argmax(1)] == band
+        out += zip(score[first].tolist(), [i] * int(first.sum()), other[first].tolist())
+    return out
+
+
+def _open_members(table: pa.Table) -> pa.Table:
+    """The rows of a bucket block that have a partner to be confirmed."""
+    pairs = _passing(table)
+    return table.take(pa.array(sorted({x for _, i, j in pairs for x in (i, j)}), pa.int64()))
+
+
+def _confirm_across(table: pa.Table) -> pa.Table:
+    """Links between groups of a bucket block on full sets, likeliest pairs first; pairs that a link has joined are settled."""
+    keys, roots = table.column("key").to_pylist(), table.column("root").to_pylist()
+    up = {r: r for r in roots}
+
+    def find(r):
+        while up[r] != r:
+            up[r] = up[up[r]]
+            r = up[r]
+        return r
+
+    texts = table.column("text").cast(pa.binary()).to_pylist()
+    sets: list[np.ndarray] = []
+    for part in _chunks(texts):
+        value, starts = shingle_sets(texts[part])
+        sets += [value[starts[i] : starts[i + 1]] for i in range(len(starts) - 1)]
+    out = []
+    for _, i, j in sorted(_passing(table), key=lambda p: (-p[0], keys[p[1]], keys[p[2]])):
+        x, y = find(roots[i]), find(roots[j])
+        if x != y and _is_link(sets[i], sets[j]):
+            up[x] = y
+            out.append((keys[i], keys[j]))
+    a, b = zip(*out) if out else ((), ())
+    return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+
+def _links_across(members: DataFrame, classes: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: links between all groups that meet in a bucket, as many as it takes to join what is linked.
+
+    Only buckets with members of several groups are met, block by block, and
+    only members with a partner whose estimate passes bring their texts.
+    """
+    rooted = members.select("band", "key").join(labels, "key", "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("m")).where("x <> y")
     rows = rooted.join(mixed.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "band")
-    rows = rows.join(classes.select("key", F.col("n_shingles").alias("n"), "packed"), "key")
+    rows = rows.join(classes.select("key", F.col("n_shingles").alias("n"), "packed", "bands"), "key")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("band", "key", "root", "n", "packed", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    pairs = rows.groupBy("band", "lo", "hi").applyInArrow(_across(likeliest), "a binary, b binary, score double, root_a binary, root_b binary")
-    if not likeliest:
-        return pairs.select("a", "b").distinct()
-    best = pairs.groupBy("root_a", "root_b").agg(F.max(F.struct("score", "a", "b")).alias("best"))
-    return best.select("best.a", "best.b").distinct()
+    rows = rows.select("band", "key", "root", "n", "packed", "bands", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    open_ = materialize(rows.groupBy("band", "lo", "hi").applyInArrow(_open_members, rows.schema), "open")
+    full = open_.join(texts, "key")
+    return materialize(full.groupBy("band", "lo", "hi").applyInArrow(_confirm_across, "a binary, b binary"), "links")
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,14 +392,9 @@ def _linked(members: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFra
     hubs = hubs.where(_alike_in_size("n_a", "n_b") & (estimate("p_a", "p_b") >= LEAST_ESTIMATE))
     links = _confirmed(hubs.select(F.col("hub").alias("a"), F.col("key").alias("b")), texts)
     labels = components(links)
-    for likeliest in (True, False):
-        pairs = materialize(_open_pairs(members, classes, labels, likeliest), "pairs")
-        if not pairs.limit(1).count():
-            break
-        more = _confirmed(pairs, texts)
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = components(links)
+    more = _links_across(members, classes, labels, texts)
+    if more.limit(1).count():
+        labels = components(links.union(more))
     drop_scratch(texts)
     return labels
 
