@@ -101,7 +101,7 @@ def cusum_peak(samples: DataFrame, value: str = "entropy", id_col: str = "blob_i
     """id, offset, peak: where the running sum of deviations from the blob's mean is largest in size (to six places), first among equals."""
     run = Window.partitionBy(id_col).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
     rows = samples.withColumn("__mean", F.avg(value).over(Window.partitionBy(id_col)))
-    rows = rows.withColumn("__walk", F.round(F.abs(F.sum(F.col(value) - F.col("__mean")).over(run)) + 1e-9, 6))
+    rows = rows.withColumn("__walk", F.round(F.abs(F.sum(F.col(value) - F.col("__mean")).over(run)) + 2.3e-8, 6))
     rows = rows.groupBy(id_col).agg(F.max(F.struct("__walk", (-F.col("offset")).alias("o"))).alias("b"))
     return rows.select(id_col, (-F.col("b.o")).alias("offset"), F.col("b.__walk").alias("peak"))
 
