@@ -363,7 +363,7 @@ def without_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: s
     found = near_duplicates(documents, id_col, text_col).select("doc_id", "text_hash", "group_key")
     found = materialize(found.where(F.col("group_key").isNotNull()), "groups")
     rows = found.groupBy("doc_id", "text_hash", "group_key").agg(F.count("*").alias("copies"))
-    first = found.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    first = found.groupBy("group_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
     rows = rows.join(first, "group_key")
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.text_hash") == F.col("text_hash"))
     rows = materialize(rows.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), stays.alias("__stays"), "copies"), "verdicts")
