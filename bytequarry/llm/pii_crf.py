@@ -31,6 +31,8 @@ TRAIN_ROWS = 4000
 #: Least marginal of an added span, and rounds of message passing.
 CONFIDENCE = 0.9
 ROUNDS = 8
+#: Pairs of each label that count as seen to agree over a skip edge before any are.
+AGREEING = 20.0
 #: Digits at the end that make two tokens similar.
 SUFFIX = 7
 #: Tokens in one run of message passing.
@@ -176,9 +178,9 @@ class Field:
     far: np.ndarray
 
 
-def _pair_potential(pairs: list[tuple[int, int]], labels: np.ndarray, size: int) -> np.ndarray:
-    """Log of observed over expected pair counts, symmetric, smoothed by one."""
-    seen = np.ones((size, size))
+def _pair_potential(pairs: list[tuple[int, int]], labels: np.ndarray, size: int, agreeing: float = 0.0) -> np.ndarray:
+    """Log of observed over expected pair counts, symmetric, smoothed by one and by ``agreeing`` pairs of each label."""
+    seen = np.ones((size, size)) + agreeing * np.eye(size)
     if pairs:
         a, b = labels[np.array(pairs)].T
         np.add.at(seen, (a, b), 1)
@@ -188,23 +190,29 @@ def _pair_potential(pairs: list[tuple[int, int]], labels: np.ndarray, size: int)
 
 
 def train(texts: list[str], steps: int = 300, rate: float = 1.0, decay: float = 1e-4) -> Field:
-    """Piecewise training on the labels of the patterns: each kind of factor is fitted on its own."""
+    """Piecewise training on the labels of the patterns: each kind of factor is fitted on its own.
+
+    A token that no pattern labels, but that skip edges tie to one that is
+    labelled, may be a mention that the patterns miss; it is left out.
+    """
     block = _Block([], [], [], [])
     for text in texts:
         _graph(text, base_spans(text), block)
     size, labels = len(LABELS), np.array(block.label, np.int64)
     weights = np.zeros((FEATURES, size))
-    if len(labels):
+    known = (labels > 0) | (_tied(block, labels) == 0)
+    if known.any():
         on = np.zeros((len(labels), FEATURES))
         for i, f in enumerate(block.features):
             on[i, f] = 1
-        each, back, count = np.unique(np.column_stack([on, labels]), axis=0, return_inverse=True, return_counts=True)
+        each, count = np.unique(np.column_stack([on, labels])[known], axis=0, return_counts=True)
         on, wanted = each[:, :-1], np.eye(size)[each[:, -1].astype(int)]
         count = count / count.sum()
         for _ in range(steps):
             p = np.exp(_normal(on @ weights))
             weights += rate * (on.T @ ((wanted - p) * count[:, None]) - decay * weights)
-    return Field(weights, _pair_potential(block.near, labels, size), _pair_potential(block.far, labels, size))
+    near, far = ([p for p in pairs if known[p[0]] and known[p[1]]] for pairs in (block.near, block.far))
+    return Field(weights, _pair_potential(near, labels, size), _pair_potential(far, labels, size, AGREEING))
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
