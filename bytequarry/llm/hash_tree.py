@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import DRAW_RANGE, draw, id_text
+from bytequarry.session import materialize
 
 
 @dataclass(frozen=True)
@@ -57,9 +58,8 @@ def _choose(key: Column, path: Column, weights: list[Column]) -> Column:
     draws = []
     for i, weight in enumerate(weights):
         u = (draw(key, "|", path, F.lit(f"/{i}")) + 0.5) / DRAW_RANGE
-        draws.append(F.struct((F.log(u) / weight).alias("score"), F.lit(-i).alias("child")))
-    live = F.filter(F.array(*draws), lambda x: x["score"].isNotNull())
-    return -F.array_max(live)["child"]
+        draws.append(F.when(weight.isNotNull(), F.struct((F.log(u) / weight).alias("score"), F.lit(-i).alias("child"))))
+    return -F.greatest(*draws)["child"]
 
 
 def _descend(df: DataFrame, key: str, topology: Topology, region: str, rack: str, shard: str) -> DataFrame:
@@ -111,7 +111,8 @@ def assign_shards(
     )
     rows = _descend(rows, "__key", topology, "region", "rack", "shard")
     rows = _descend(rows, "__key", topology.grow(), "__region", "__rack", "grown_shard")
-    rows = rows.withColumn("__bucket", F.floor(draw("slot|", F.col("__key")) * buckets / DRAW_RANGE).cast("int"))
+    rows = rows.drop("__region", "__rack").withColumn("__bucket", F.floor(draw("slot|", F.col("__key")) * buckets / DRAW_RANGE).cast("int"))
+    rows = materialize(rows.drop("__key"), "shards")  # the rows are read twice, the texts once
     along = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         rows.groupBy("shard", "__bucket")
