@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions import kernels, ladders
-from bytequarry.operators import bytestats, detect, intervals, windows
+from bytequarry.functions import ladders
+from bytequarry.operators import detect, intervals, windows
 from bytequarry.plans.catalogue import register
 from bytequarry.plans.stat_queries import BYTES, STATS, blobs
 from bytequarry.session import table
+from bytequarry.streaming import byte_stream
 from bytequarry.sources import signatures as S
 
 REGION_SQL = ladders.ladder_sql("round(entropy, 6)", ladders.REGION)
@@ -279,8 +280,13 @@ def deep_scan(spark, sf_dir):
 def streaming_stats(spark, sf_dir):
     """64 KiB chunks counted one by one; their histograms are added, as a stream of chunks would have them."""
     rows = blobs(spark, sf_dir).withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.octet_length("data") - 1) / 65536).cast("int"))))
-    rows = rows.select("blob_id", "i", kernels.byte_counts(F.expr("substring(data, i * 65536 + 1, 65536)")).alias("counts"))
-    rows = rows.select("blob_id", "i", F.posexplode("counts").alias("byte", "n")).where("n > 0").groupBy("blob_id", "byte").agg(F.sum("n").alias("n"), F.max("i").alias("i"))
-    rows = rows.groupBy("blob_id").agg((F.max("i") + 1).cast("long").alias("chunks"), F.sum("n").alias("n_bytes"), F.collect_list("n").alias("counts"))
-    n = F.col("n_bytes")
-    return rows.select("blob_id", "chunks", "n_bytes", F.round(bytestats.entropy(F.col("counts"), n), 6).alias("entropy"), F.round(bytestats.chi_square(F.col("counts"), n), 4).alias("chi_square"))
+    chunks = rows.select("blob_id", F.expr("substring(data, i * 65536 + 1, 65536)").alias("data"))
+    stats = byte_stream.histogram_statistics(byte_stream.running_histograms(chunks))
+    rows = rows.groupBy("blob_id").agg((F.max("i") + 1).cast("long").alias("chunks")).join(stats, "blob_id")
+    return rows.select("blob_id", "chunks", "n_bytes", F.round("entropy", 6).alias("entropy"), F.round("chi_square", 4).alias("chi_square"))
+
+
+@register("event_sessions", """WITH e AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""")
+def event_sessions(spark, sf_dir):
+    return _rounded(byte_stream.event_sessions(table(spark, sf_dir, "events")), value=4)
