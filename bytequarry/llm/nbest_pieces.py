@@ -34,7 +34,9 @@ from pyspark.sql.types import StructType
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Entries of each of the two generations of a cache.
-CACHE = 350_000
+CACHE = 120_000
+#: Ids of one batch of output rows.
+BATCH_IDS = 1 << 20
 SPACE = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -266,12 +268,28 @@ def encode_nbest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                out.append(None if text is None else [{"score": s, "ids": i} for s, i in pieces.encode(text, n)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc_id", "segmentations"])
+            start, ids, ends, scores, counts = 0, array("i"), [0], [], [0]
+
+            def pack(stop: int) -> pa.RecordBatch:
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.Array.from_buffers(pa.int32(), len(ids), [None, pa.py_buffer(ids)]))
+                pairs = pa.StructArray.from_arrays([pa.array(scores, pa.float64()), lists], ["score", "ids"])
+                return pa.RecordBatch.from_arrays([batch.column(0)[start:stop], pa.ListArray.from_arrays(pa.array(counts, pa.int32()), pairs)], ["doc_id", "segmentations"])
+
+            for row, text in enumerate(batch.column(1)):
+                text = text.as_py()
+                if text is None:
+                    counts[-1] = None  # a null list
+                for score, found in pieces.encode(text, n) if text is not None else ():
+                    ids.extend(found)
+                    ends.append(len(ids))
+                    scores.append(score)
+                counts.append(len(scores))
+                if len(ids) >= BATCH_IDS:
+                    yield pack(row + 1)
+                    start, ids, ends, scores, counts = row + 1, array("i"), [0], [], [0]
+            if start < batch.num_rows:
+                yield pack(batch.num_rows)
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
