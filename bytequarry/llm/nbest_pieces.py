@@ -145,18 +145,21 @@ class Pieces:
         best = [0.0] + [-_NO_GAP] * len(group)
         for end in range(1, len(group) + 1):
             best[end] = max(best[start] + s for start, s in into[end])
-        # (-estimate, cut marks from the end, place, score so far)
-        heap: list[tuple[float, tuple[int, ...], int, float]] = [(-best[-1], (), len(group), 0.0)]
-        found = []
+        # (-estimate, -turn, place, score so far, cuts as a chain); among equal estimates the latest goes first
+        heap: list[tuple] = [(-best[-1], 0, len(group), 0.0, (len(group), None))]
+        found, turn = [], 0
         while heap and len(found) < n:
-            _, cuts, end, behind = heapq.heappop(heap)
+            _, _, end, behind, cuts = heapq.heappop(heap)
             if end == 0:
-                marks = [0, *(len(group) + c for c in reversed(cuts[:-1])), len(group)]
+                marks = []
+                while cuts:
+                    marks.append(cuts[0])
+                    cuts = cuts[1]
                 found.append((behind, [i for a, b in zip(marks, marks[1:]) for i in self.ids(group[a:b])]))
                 continue
-            for start, s in into[end]:
-                total = behind + s
-                heapq.heappush(heap, (-(best[start] + total), (*cuts, start - len(group)), start, total))
+            for start, s in sorted(into[end], reverse=True):
+                turn -= 1
+                heapq.heappush(heap, (-(best[start] + behind + s), turn, start, behind + s, (start, cuts)))
         return found
 
     def solve(self, group: str) -> tuple[float, tuple[int, ...], float]:
