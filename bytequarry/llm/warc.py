@@ -136,6 +136,9 @@ def write_captures(
         if inside:
             yield flush()
 
+    spark = pages.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)  # there is none if no task runs
     materialize(rows.mapInArrow(write, "file string, records long, bytes long"), "warc-manifest")
     return folder
 
@@ -244,7 +247,9 @@ def assemble(records: DataFrame) -> DataFrame:
         F.struct("record_id", "date", "content_type", "block_bytes", "http_status").alias("response"),
     )
     whole = main.join(beside("request"), "record_id", "left").join(beside("metadata"), "record_id", "left")
-    whole = whole.withColumn("page_id", F.col("metadata.page_id"))
+    # Responses refer to nothing; a key of their own keeps them from meeting in one task.
+    refers = F.coalesce("refers_to_id", F.concat(F.lit("none "), F.coalesce("record_id", F.lit(""))))
+    whole = whole.withColumn("page_id", F.col("metadata.page_id")).withColumn("refers_to_id", refers)
     named = beside("metadata").select(F.col("record_id").alias("refers_to_id"), F.col("metadata.page_id").alias("refers_to"))
     answered = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id")).distinct()
     return whole.join(named.join(answered, "refers_to_id", "left_semi"), "refers_to_id", "left").select(
