@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,3 +26,15 @@ def draw(*parts: Column | str) -> Column:
     texts = [F.lit(p) if isinstance(p, str) else p for p in parts]
     digits = F.substring(F.md5(F.concat(*texts).cast("binary")), 1, DRAW_DIGITS)
     return F.conv(digits, 16, 10).cast("double")
+
+
+#: Rows that a Python worker turns into objects at a time, whatever the size of an Arrow batch.
+SLICE_ROWS = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones; memory of the last ones is given back at the end of the task."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
+    pa.default_memory_pool().release_unused()

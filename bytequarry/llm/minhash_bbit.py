@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import WORD
+from bytequarry.llm.common import WORD, slices
 from bytequarry.llm.components import components
 from bytequarry.session import drop_scratch, materialize
 
@@ -42,7 +42,7 @@ BLOCK = 1000
 #: Ids of at most this many documents (8 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 _U = np.uint64
 _random = np.random.default_rng(20_240_501)
@@ -147,7 +147,7 @@ def _chunks(texts: list[bytes]) -> Iterator[slice]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
         for part in _chunks(texts):
             value, starts = shingle_sets(texts[part])
@@ -195,7 +195,7 @@ def _is_link(a: np.ndarray, b: np.ndarray) -> bool:
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose full sets are linked."""
-    for batch in batches:
+    for batch in slices(batches):
         a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         texts: dict[bytes, bytes] = {}
         for keys, column in ((a, "text_a"), (b, "text_b")):

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from bytequarry.llm.common import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Entries of each of the two generations of a cache.
@@ -199,6 +201,12 @@ class Pieces:
             ids += self.ids(group[a:b])
         return first[size], tuple(ids), first[size] - second[size]
 
+    def forget(self) -> None:
+        """Empties the caches, so that a worker's next task of another kind has the memory."""
+        for cache in (self.solved, self.found_paths):
+            cache.clear()
+            cache.old = {}
+
     def best_paths(self, group: str, n: int) -> list[tuple[float, list[int]]]:
         found = self.found_paths.get((group, n))
         return self.found_paths.keep((group, n), self.paths(group, n)) if found is None else found
@@ -293,6 +301,7 @@ def encode_nbest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
                     start, ids, ends, scores, counts = row + 1, array("i"), [0], [], [0]
             if start < batch.num_rows:
                 yield pack(batch.num_rows)
+        pieces.forget()
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -324,7 +333,7 @@ def segmentation_digests(documents: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model)
-        for batch in batches:
+        for batch in slices(batches):
             counts, sums, scores, found, same = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 best = None if text is None else pieces.encode(text, n)
@@ -335,6 +344,7 @@ def segmentation_digests(documents: DataFrame, id_col: str = "doc_id", text_col:
                 same.append(best and all(pieces.decode(i) == text for _, i in best))
             arrays = [pa.array(x, t) for x, t in ((counts, pa.int64()), (sums, pa.int64()), (scores, pa.list_(pa.float64())), (found, pa.int32()), (same, pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_tokens", "ids_crc32", "scores", "n_segmentations", "restored"])
+        pieces.forget()
 
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import draw, id_text
+from bytequarry.llm.common import draw, id_text, slices
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -331,7 +331,7 @@ def detect(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col:
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "n_added", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = find_spans(shared.value, batch.column(1).to_pylist())
             counts = [pa.array([sum(s[0] == k for s in base) for base, _ in found], pa.int64()) for k in range(len(KINDS))]
             digests = pa.array([sha256(join_spans(base).encode()).hexdigest() for base, _ in found], pa.string())
@@ -361,7 +361,7 @@ def redact(documents: DataFrame, field: Field, text_col: str = "text") -> DataFr
     column = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(column).to_pylist()
             found = find_spans(shared.value, texts)
             clean = [t if t is None else redact_text(t, base + x) for t, (base, x) in zip(texts, found)]

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bytequarry.llm.common import draw, id_text
+from bytequarry.llm.common import draw, id_text, slices
 
 #: Longest context in bytes.
 ORDER = 4
@@ -229,7 +229,7 @@ def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(column).to_pylist()
             found, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             at = [i for i, t in enumerate(texts) if t and model and _LETTER.search(t)]
