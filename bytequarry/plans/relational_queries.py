@@ -221,7 +221,7 @@ def rle_runs(spark, sf_dir):
     "cusum_peak",
     f"""WITH {window_sql("pos // 256")}, m AS (SELECT blob_id, "offset", round(entropy, 6) AS e, avg(round(entropy, 6)) OVER (PARTITION BY blob_id) AS mean FROM win),
     wk AS (SELECT blob_id, "offset", abs(sum(e - mean) OVER (PARTITION BY blob_id ORDER BY "offset")) AS raw, round(raw + 2.3e-8, 6) AS walk FROM m)
-    SELECT blob_id, arg_max("offset", walk * 100000000 - "offset") AS "offset", round(max(raw) + 2.3e-8, 6) AS peak FROM wk GROUP BY blob_id""",
+    SELECT blob_id, arg_max("offset", walk * 1000000000000 - "offset") AS "offset", round(max(raw) + 2.3e-8, 6) AS peak FROM wk GROUP BY blob_id""",
 )
 def cusum_peak(spark, sf_dir):
     samples = _rounded(windows.entropy_tumbling(blobs(spark, sf_dir)), entropy=6)
