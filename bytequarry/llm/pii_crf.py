@@ -4,8 +4,9 @@ Patterns give the base spans. Around them a random field labels every token that
 holds a digit or an @ (no other token can be an entity, so all others are fixed
 to "none" and cut the chain): neighbouring tokens share a chain potential, and
 tokens of one document that are equal, or end in the same seven digits, share a
-skip potential, however far apart. Loopy sum-product message passing runs over
-the whole document; tokens of base spans are observed. A token that the field
+skip potential, however far apart: each is tied to the occurrence before it, and
+to an observed one if there is any. Loopy sum-product message passing runs over
+the whole document until it settles; tokens of base spans are observed. A token that the field
 gives a kind, and that skip edges tie to a base span of that kind, becomes a span
 of its own: a second mention that the pattern misses.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field as member
 from hashlib import sha256
 
 import numpy as np
@@ -28,9 +29,10 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: Bound of the training sample: so many documents, by smallest hash of the id.
 TRAIN_ROWS = 4000
-#: Least marginal of an added span, and rounds of message passing.
+#: Least marginal of an added span, change below which a document's messages have settled, and a guard against messages that never do.
 CONFIDENCE = 0.9
-ROUNDS = 8
+SETTLED = 1e-6
+ROUNDS = 2000
 #: Pairs of each label that count as seen to agree over a skip edge before any are.
 AGREEING = 20.0
 #: Digits at the end that make two tokens similar.
@@ -128,12 +130,19 @@ class _Block:
     label: list[int]  # of base spans, else 0
     near: list[tuple[int, int]]
     far: list[tuple[int, int]]
+    held: list[tuple[int, int]] = member(default_factory=list)  # more skip edges, each from an observed token
+    firsts: list[int] = member(default_factory=list)  # each document's first token
+
+    def clear(self) -> None:
+        for part in (self.features, self.label, self.near, self.far, self.held, self.firsts):
+            part.clear()
 
 
 def _graph(text: str, base: list[tuple[int, int, int]], block: _Block) -> list[tuple[int, int]]:
     """Adds the document's tokens and edges to the block; returns the tokens' places."""
     spots = tokens(text)
     first = len(block.label)
+    block.firsts.append(first)
     joined = [i > 0 and text[spots[i - 1][1] : spots[i][0]].isspace() for i in range(len(spots))]
     counts = [len(_NOT_DIGIT.sub("", text[a:b])) for a, b in spots]
     runs, i = [0] * len(spots), 0
@@ -151,6 +160,8 @@ def _graph(text: str, base: list[tuple[int, int, int]], block: _Block) -> list[t
             for k in range(int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b))):
                 marks[k] = marks[k] or kind + 1
     last: dict[tuple[int, str], int] = {}
+    seen: dict[tuple[int, str], int] = {}
+    waiting: dict[tuple[int, str], list[int]] = {}
     for i, (a, b) in enumerate(spots):
         word = text[a:b]
         block.features.append(_features(word, runs[i]))
@@ -160,12 +171,21 @@ def _graph(text: str, base: list[tuple[int, int, int]], block: _Block) -> list[t
         keys = [(0, word.strip(_EDGE).lower())]
         if counts[i] >= SUFFIX:
             keys.append((1, _NOT_DIGIT.sub("", word)[-SUFFIX:]))
-        before = set()
+        before, ties = set(), set()
         for key in keys:  # a chain through the occurrences: as connected as all pairs, with one edge a token
             if key in last and last[key] not in before:
                 before.add(last[key])
                 block.far.append((first + last[key], first + i))
+            # Evidence fades along a chain, so each occurrence also has an edge from the last observed one, or the first if none came before.
+            if marks[i]:
+                ties |= {(i, j) for j in waiting.pop(key, ()) if last[key] != j}
+                seen[key] = i
+            elif key in seen:
+                ties.add((seen[key], i))
+            else:
+                waiting.setdefault(key, []).append(i)
             last[key] = i
+        block.held += [(first + a, first + b) for a, b in sorted(ties) if a not in before]
     return spots
 
 
@@ -221,31 +241,39 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 
 def marginals(field: Field, block: _Block, rounds: int = ROUNDS) -> np.ndarray:
-    """Beliefs[token, label] after loopy sum-product message passing with half damping."""
+    """Beliefs[token, label] after loopy sum-product message passing with half damping, until each document's messages settle."""
     size, n = len(LABELS), len(block.label)
     unary = np.zeros((n, size))
     for i, f in enumerate(block.features):
         unary[i] = field.unary[f].sum(0)
     labels = np.array(block.label, np.int64)
     seen = labels > 0
-    unary[seen] = -30.0
+    unary[seen] = -np.inf  # whatever many neighbours say
     unary[seen, labels[seen]] = 0.0
     unary = _normal(unary)
-    edges = np.array(block.near + block.far, np.int64).reshape(-1, 2)
+    skip = block.far + block.held
+    edges = np.array(block.near + skip, np.int64).reshape(-1, 2)
     if not len(edges):
         return np.exp(unary)
-    potential = np.concatenate([np.repeat(field.near[None], len(block.near), 0), np.repeat(field.far[None], len(block.far), 0)])
+    potential = np.concatenate([np.repeat(field.near[None], len(block.near), 0), np.repeat(field.far[None], len(skip), 0)])
     source, target = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
     potential = np.concatenate([potential, potential.transpose(0, 2, 1)])
     opposite = np.roll(np.arange(len(source)), len(edges))
     messages = np.zeros((len(source), size))
+    document = np.searchsorted(block.firsts, source, "right")
+    live = np.arange(len(source))
     for _ in range(rounds):
         belief = unary.copy()
-        np.add.at(belief, target, messages)
-        out = (belief[source] - messages[opposite])[:, :, None] + potential
+        np.add.at(belief, target[live], messages[live])
+        out = (belief[source[live]] - messages[opposite[live]])[:, :, None] + potential[live]
         top = out.max(1)
         out = top + np.log(np.exp(out - top[:, None, :]).sum(1))
-        messages = _normal(0.5 * messages + 0.5 * _normal(out))
+        new = _normal(0.5 * messages[live] + 0.5 * _normal(out))
+        moved = np.abs(new - messages[live]).max(1) >= SETTLED
+        messages[live] = new
+        live = live[np.isin(document[live], document[live[moved]])]  # by document, so none depends on what shares its block
+        if not len(live):
+            break
     belief = unary.copy()
     np.add.at(belief, target, messages)
     return np.exp(_normal(belief))
@@ -290,7 +318,7 @@ def find_spans(field: Field, texts: list[str | None]) -> list[tuple[list[tuple[i
                     if added and added[-1][0] == kind and text[added[-1][2] : a].strip(_EDGE + " ") == "" and i - 1 in picked:
                         a = added.pop()[1]
                     added.append((kind, a, b))
-        block.features.clear(), block.label.clear(), block.near.clear(), block.far.clear(), held.clear()
+        block.clear(), held.clear()
 
     for text in texts:
         base = base_spans(text) if text else []

@@ -131,6 +131,15 @@ def test_second_mentions_and_clean_texts(spark):
     assert pii_crf.detect(frame(spark, []), pii_crf.fit(frame(spark, []))).count() == 0
 
 
+def test_a_number_repeated_fifty_times_is_found_every_time():
+    field = pii_crf.train(TRAIN)
+    again = " Then 5557713000 again, they said." * 50
+    clean = "Call +1 (555) 771-3000." + " Then 1234567890 apples." * 50
+    found = pii_crf.find_spans(field, ["Call +15557713000 now." + again, again + " Call +15557713000.", clean])
+    assert [(len(base), len(added)) for base, added in found] == [(1, 50), (1, 50), (1, 0)]
+    assert found[:1] == pii_crf.find_spans(field, ["Call +15557713000 now." + again])
+
+
 def test_marginals_are_exact_on_a_chain():
     import numpy as np
 
