@@ -201,23 +201,28 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_
                 part = np.load(io.BytesIO(packed))
                 points, ids, starts = part["points"], part["ids"], part["starts"]
                 links, entry, rough = part["links"], int(part["entry"]), part["points"].astype(np.float32)
+                # Nodes that list a query's own id may hold no answer, so a beam has room for k besides them.
+                listed = np.unique(np.stack([ids, np.repeat(np.arange(len(points)), np.diff(starts))]), axis=1)[0]
+                own_nodes = np.searchsorted(listed, names, "right") - np.searchsorted(listed, names)
                 for i in range(0, len(asked), BATCH):
                     block = asked[i : i + BATCH]
-                    nodes, _ = beam_search(rough, links, entry, block.astype(np.float32), max(beam, k + 1))
+                    nodes, _ = beam_search(rough, links, entry, block.astype(np.float32), max(beam, k + int(own_nodes[i : i + BATCH].max())))
                     exact = np.sqrt(_squares(block, points[nodes]))
                     exact[nodes < 0] = np.inf
                     order = np.argsort(exact, 1, kind="stable")
                     for row, name in enumerate(names[i : i + BATCH].tolist()):
-                        left_over = k
-                        found = [(exact[row, c], nodes[row, c]) for c in order[row, : k + 1].tolist() if nodes[row, c] >= 0]
-                        for distance, node in found:
-                            own = [x for x in ids[starts[node] : starts[node + 1]][: k + 1].tolist() if x != name][:k]
-                            out["query_id"] += [name] * len(own)
-                            out["vec_id"] += own
-                            out["score"] += [distance] * len(own)
-                            left_over -= len(own)
-                            if left_over <= 0 and distance < exact[row, order[row, min(len(found) - 1, k)]]:
+                        left_over, last = k, np.inf
+                        for c in order[row].tolist():
+                            node, distance = nodes[row, c], exact[row, c]
+                            if node < 0 or left_over <= 0 and distance > last:  # equal distances are left to the ids
                                 break
+                            there = ids[starts[node] : starts[node + 1]]
+                            a, b = np.searchsorted(there, name), np.searchsorted(there, name, "right")
+                            others = np.concatenate([there[:a][:k], there[b:][:k]])[:k].tolist()
+                            out["query_id"] += [name] * len(others)
+                            out["vec_id"] += others
+                            out["score"] += [distance] * len(others)
+                            left_over, last = left_over - len(others), distance
         return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
 
     asked = queries.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("vector")).mapInArrow(encode, "query_id long, dim int, vector binary")

@@ -33,15 +33,22 @@ def by_dimension(ids: pa.Array, vectors: pa.Array, zero: bool = True) -> list[tu
     return out
 
 
-def fewest_of_equal(ids: np.ndarray, matrix: np.ndarray, keep: int) -> np.ndarray:
-    """Places of the ``keep`` rows with the smallest ids among each set of equal vectors.
+def fewest_of_equal(ids: np.ndarray, matrix: np.ndarray, k: int) -> np.ndarray:
+    """Places of the rows with the smallest ids among each set of equal vectors: ``k`` of an id and 2 * ``k`` in all.
 
-    No more than ``keep`` equal vectors can be among the first ``keep`` answers to
-    any query when ties go to smaller ids, so the others need not travel.
+    When ties go to smaller ids, no more than ``k`` equal vectors can be among
+    the first ``k`` answers to a query, and no more than ``k`` of those kept are
+    of the query's own id, so the others need not travel.
     """
     _, group = np.unique(np.ascontiguousarray(matrix).view(f"V{matrix.dtype.itemsize * matrix.shape[1]}").ravel(), return_inverse=True)
     order = np.lexsort((ids, group))
-    group = group[order]
-    first = np.concatenate([[True], group[1:] != group[:-1]])
-    start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return order[np.arange(len(order)) - start < keep]
+    order = order[places(group[order], ids[order]) < k]
+    return order[places(group[order]) < 2 * k]
+
+
+def places(*keys: np.ndarray) -> np.ndarray:
+    """The place of each row in its run of equal keys, from 0."""
+    count = len(keys[0])
+    new = np.ones(count, bool)
+    new[1:] = np.any([key[1:] != key[:-1] for key in keys], axis=0)
+    return np.arange(count) - np.maximum.accumulate(np.where(new, np.arange(count), 0))

@@ -2,11 +2,15 @@
 
 Pivots split space into cells. Queries are grouped by their nearest pivot, and so
 are the data vectors. A first pass over the data keeps, for each cell, the k + 1
-members nearest to the pivot: these summaries give each query a score that its
+members of different ids nearest to the pivot: these summaries give each query a score that its
 answers must reach, each group of queries the least such score and its radius,
 and each pair of cells the largest product of a query and a data pivot. With
 these bounds a data vector is copied only to the groups where it can still be an
 answer. Each group is solved on its own, in salted parts whose lists are merged.
+
+A query's own rows are no answers, and there can be many. So a list holds k rows
+of an id at most and 2 * k in all: k or fewer of them are the query's own. Of the
+summaries each id has one row, so that all but one are another's.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bytequarry.llm.common import draw, id_text
-from bytequarry.llm.vectors import by_dimension, fewest_of_equal
+from bytequarry.llm.vectors import by_dimension, fewest_of_equal, places
 
 K = 5
 SCALE = 256
@@ -98,7 +102,8 @@ def topk_join(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCA
 
     queries = rows.where("is_query").select("vec_id", "vector")
     asked = queries.mapInArrow(_encode(scale), "vec_id long, dim int, vector binary")
-    distinct = asked.groupBy("dim", "vector").agg(F.min("vec_id").alias("rep"))
+    rep = F.sha2("vector", 256).alias("rep")  # not the least id, which several vectors can share
+    distinct = asked.select("dim", "vector", rep).distinct()
     # SAMPLE_ROWS vectors at most come to the driver
     sample = rows.select("vec_id", "vector", draw("pivot|", id_text("vec_id")).alias("h")).orderBy("h", "vec_id").limit(SAMPLE_ROWS)
     drawn: dict[int, list[np.ndarray]] = {}
@@ -112,15 +117,16 @@ def topk_join(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCA
     pivots = {d: _pivots(np.concatenate(drawn[d]), count) if d in drawn else np.zeros((1, d)) for d in dims}
     shared = spark.sparkContext.broadcast(pivots)
 
-    # Summaries: the members nearest to each pivot, k + 1 a cell.
+    # Summaries: the members nearest to each pivot, k + 1 a cell, one an id.
     near = rows.select("vec_id", "vector").mapInArrow(_members(shared, scale, keep), "dim int, cell int, vec_id long, vector binary, far double")
+    near = near.groupBy("dim", "cell", "vec_id").agg(F.min(F.struct("far", "vector")).alias("first")).select("dim", "cell", "vec_id", "first.*")
     order = Window.partitionBy("dim", "cell").orderBy("far", "vec_id")
     marks = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).select("dim", "vector", "vec_id")
-    landmarks = {d: [] for d in dims}
+    landmarks = {d: {} for d in dims}
     for r in marks.collect():  # at most MAX_PIVOTS * (k + 1) vectors a length
-        landmarks[r["dim"]].append(np.frombuffer(r["vector"], np.float64))
-    landmarks = spark.sparkContext.broadcast({d: np.stack(v) if v else np.zeros((0, d)) for d, v in landmarks.items()})
-    placed = distinct.mapInArrow(_place(shared, landmarks, keep), "dim int, cell int, rep long, vector binary, least double, radius double, reach array<double>")
+        landmarks[r["dim"]].setdefault(r["vec_id"], np.frombuffer(r["vector"], np.float64))
+    landmarks = spark.sparkContext.broadcast({d: np.stack(list(v.values())) if v else np.zeros((0, d)) for d, v in landmarks.items()})
+    placed = distinct.mapInArrow(_place(shared, landmarks, keep), "dim int, cell int, rep string, vector binary, least double, radius double, reach array<double>")
     pair_bounds = placed.select("dim", "cell", "least", "radius", F.posexplode("reach").alias("other", "most")).groupBy("dim", "cell", "other")
     bounds: dict[int, dict[int, list]] = {d: {} for d in dims}
     for r in pair_bounds.agg(F.min("least").alias("least"), F.max("radius").alias("radius"), F.max("most").alias("most")).collect():
@@ -128,15 +134,16 @@ def topk_join(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCA
     limits = spark.sparkContext.broadcast({d: _limits(b, len(pivots[d])) for d, b in bounds.items()})
 
     parts = max(1, -(-vectors.count() // ROWS_PER_PART))
-    copies = rows.select("vec_id", "vector").mapInArrow(_replicate(shared, limits, scale, keep), "dim int, cell int, vec_id long, vector binary")
+    copies = rows.select("vec_id", "vector").mapInArrow(_replicate(shared, limits, scale, k), "dim int, cell int, vec_id long, vector binary")
     copies = copies.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
     groups = placed.select("dim", "cell", "rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     key = ["dim", "cell", "part"]
-    local = groups.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_solve(keep), "rep long, vec_id long, score long")
+    local = groups.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_solve(k), "rep string, vec_id long, score long")
     best = Window.partitionBy("rep").orderBy(F.desc("score"), "vec_id")
-    merged = local.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep).drop("n")
-    named = asked.select("dim", "vector", F.col("vec_id").alias("query_id")).distinct().join(distinct, ["dim", "vector"]).select("query_id", "rep")
+    # All rows of an id are in one part, which has left k of them at most.
+    merged = local.withColumn("n", F.row_number().over(best)).where(F.col("n") <= 2 * k).drop("n")
+    named = asked.select(F.col("vec_id").alias("query_id"), rep).distinct()
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         named.join(merged, "rep")
@@ -158,7 +165,7 @@ def _encode(scale: int):
 
 
 def _members(pivots, scale: int, keep: int):
-    """The vectors nearest to each pivot in a batch."""
+    """The vectors nearest to each pivot in a batch, of different ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,10 +176,10 @@ def _members(pivots, scale: int, keep: int):
                 matrix = quantise(matrix, scale)
                 cell = _nearest(matrix, centres)
                 far = np.sqrt(((matrix - centres[cell]) ** 2).sum(1))
-                order = np.lexsort((ids, far, cell))
-                first = np.concatenate([[True], cell[order][1:] != cell[order][:-1]])
-                start = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-                at = order[np.arange(len(order)) - start < keep]
+                order = np.lexsort((far, ids, cell))
+                order = order[places(cell[order], ids[order]) == 0]
+                order = order[np.lexsort((ids[order], far[order], cell[order]))]
+                at = order[places(cell[order]) < keep]
                 dim = pa.array(np.full(len(at), matrix.shape[1], np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [dim, pa.array(cell[at].astype(np.int32)), pa.array(ids[at]), _bytes(matrix[at]), pa.array(far[at])], ["dim", "cell", "vec_id", "vector", "far"]
@@ -212,7 +219,7 @@ def _limits(cells: dict[int, list], pivots: int):
     return at, least, radius, reach
 
 
-def _replicate(pivots, limits, scale: int, keep: int):
+def _replicate(pivots, limits, scale: int, k: int):
     """A copy of each vector for every query group in which it can reach the least score.
 
     For a query q of a group with pivot p and radius R, and x = c + b in the cell
@@ -226,7 +233,7 @@ def _replicate(pivots, limits, scale: int, keep: int):
                 if d not in limits.value or not len(limits.value[d][0]):
                     continue
                 matrix = quantise(matrix, scale)
-                at = fewest_of_equal(ids, matrix, keep)
+                at = fewest_of_equal(ids, matrix, k)
                 ids, matrix = ids[at], matrix[at]
                 centres, (cells, least, radius, reach) = pivots.value[d], limits.value[d]
                 own = _nearest(matrix, centres)
@@ -245,17 +252,30 @@ def _replicate(pivots, limits, scale: int, keep: int):
     return run
 
 
-def _solve(keep: int):
+def _fewest_of_ids(ids: np.ndarray, k: int):
+    """(a function of scores[query, row] to those of fewer columns, the ids of these): an id on more than k rows keeps its k best scores."""
+    names, at, count = np.unique(ids, return_inverse=True, return_counts=True)
+    light = np.flatnonzero(count[at] <= k)
+    heavy = [np.flatnonzero(at == i) for i in np.flatnonzero(count > k)]
+
+    def cut(scores: np.ndarray) -> np.ndarray:
+        return np.concatenate([scores[:, light], *(np.partition(scores[:, c], len(c) - k, axis=1)[:, len(c) - k :] for c in heavy)], axis=1) if heavy else scores
+
+    return cut, np.concatenate([ids[light], np.repeat(names[count > k], k)]) if heavy else ids
+
+
+def _solve(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"rep": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+        empty = pa.table({"rep": pa.array([], pa.string()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not left.num_rows or not right.num_rows:
             return empty
         data, ids = _matrix(right.column("vector")), np.asarray(right.column("vec_id"))
-        query, reps = _matrix(left.column("vector")), np.asarray(left.column("rep"))
+        query, reps = _matrix(left.column("vector")), np.array(left.column("rep").to_pylist(), object)
+        cut, ids = _fewest_of_ids(ids, k)
         out = []
         for i in range(0, len(query), 256):
-            scores = _products(query[i : i + 256], data)
-            top = _best(scores, ids, keep)
+            scores = cut(_products(query[i : i + 256], data))
+            top = _best(scores, ids, 2 * k)
             out.append((np.repeat(reps[i : i + 256], top.shape[1]), ids[top].ravel(), np.take_along_axis(scores, top, 1).ravel()))
         return pa.table({n: pa.array(np.concatenate(c)) for n, c in zip(("rep", "vec_id", "score"), zip(*out))})
 

@@ -46,6 +46,19 @@ def test_topk_of_little(spark):
     assert sorted(tuple(r) for r in out) == [(0, 1, 1, 256 * 512), (0, 2, 2, 256 * 512)]
 
 
+def test_topk_of_a_repeated_query(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_topk, "QUERIES_PER_PIVOT", 2)
+    rows = clustered(300)
+    rows += [rows[0]] * 8 + [rows[10]] * 3 + [(20, rows[11][1])] * 20 + [(20, rows[7][1])] * 2 + [(31, [2.0] * 16)] * 9 + [(40, [2.0] * 16)] * 7
+    got = sorted(tuple(r) for r in voronoi_topk.topk_join(frame(spark, rows).repartition(3), F.col("vec_id") % 10 == 0, k=5).collect())
+    want = []
+    for q in range(0, 300, 10):
+        asked = {tuple(np.floor(256 * np.array(v))) for i, v in rows if i == q}
+        pairs = sorted((-int(np.dot(a, np.floor(256 * np.array(v)))), i) for i, v in rows if i != q for a in asked)
+        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(pairs[:5], 1)]
+    assert got == want
+
+
 def brute_nearest(rows, every, k):
     fine = [(i, np.array(v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     out = {}
@@ -78,3 +91,14 @@ def test_graph_of_little(spark):
     assert pruned_graph.nearest(frame(spark, []), F.col("vec_id") % 100 == 0).count() == 0
     out = pruned_graph.nearest(frame(spark, [(0, [1.0]), (2, [3.0]), (1, [3.0]), (4, [1.0])]), F.col("vec_id") % 100 == 0).collect()
     assert sorted(tuple(r) for r in out) == [(0, 1, 4, 0.0), (0, 2, 1, 2.0), (0, 3, 2, 2.0)]
+
+
+def test_graph_of_a_repeated_query(spark):
+    rows = clustered(400, 24, 3)
+    rows += [rows[0]] * 20 + [(100, [x + 0.001 * j for x in rows[100][1]]) for j in range(150)] + [(i, rows[0][1]) for i in range(1001, 1004)]
+    vectors = frame(spark, rows).repartition(3)
+    out = pruned_graph.search(pruned_graph.build_index(vectors), vectors.where(F.col("vec_id") == 0)).collect()
+    want = brute_nearest(rows, 1000, 10)[0]
+    assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == [i for _, i in want]
+    out = pruned_graph.search(pruned_graph.build_index(vectors), frame(spark, [rows[100]])).collect()
+    assert len(out) == 10 and all(r["vec_id"] != 100 for r in out)
