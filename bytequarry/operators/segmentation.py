@@ -126,18 +126,22 @@ def repeated_patterns(blobs: DataFrame, length: int = 8, least: int = 3, top: in
     return blobs.select(id_col, F.explode(count(data_col)).alias("x")).select(id_col, "x.pattern", "x.n")
 
 
-def field_length(blobs: DataFrame, lags: tuple[int, int] = (4, 256), least: float = 0.1, top: int = 50, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
-    """id, lag, confidence: record lengths at which bytes repeat more than chance, multiples of better ones left out."""
+def field_length(blobs: DataFrame, lags: tuple[int, int] = (4, 4096), least: float = 0.02, top: int = 50, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
+    """id, lag, confidence: record lengths at which bytes repeat more than chance, multiples of better ones left out.
+
+    All bytes count; a length fits three times at least, bytes agree in more than
+    3 of 256 places and the confidence is ``least`` or more.
+    """
     kind = pa.list_(pa.struct([("lag", pa.int32()), ("confidence", pa.float64())]))
 
     @kernels.kernel(kind)
     def measure(blobs: pa.Array) -> pa.Array:
         def one(v):
             found = []
-            for lag in range(lags[0], min(lags[1], len(v) // 2) + 1):
-                share = float((v[lag:] == v[:-lag]).mean())
+            for lag in range(lags[0], min(lags[1], len(v) // 3) + 1):
+                share = np.count_nonzero(v[lag:] == v[:-lag]) / (len(v) - lag)
                 confidence = (share - 1 / 256) / (1 - 1 / 256)
-                if confidence > least:
+                if share > 3 / 256 and confidence >= least:
                     found.append((confidence, lag))
             kept: list[tuple[float, int]] = []
             for confidence, lag in sorted(found, key=lambda x: (-x[0], x[1])):

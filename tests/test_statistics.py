@@ -148,3 +148,14 @@ def test_serial_correlation_wraps(spark):
     num = sum((a - mean) * (b - mean) for a, b in zip(data, data[1:] + data[:1]))
     want = num / math.fsum((a - mean) ** 2 for a in data)
     assert blobs(spark, data).select(kernels.serial_correlation("data")).first()[0] == pytest.approx(want)
+
+
+def test_field_lengths_up_to_4096_and_of_low_confidence(spark):
+    draw = random.Random(3)
+    faint = bytearray(draw.randbytes(4000))
+    for i in range(0, 4000, 40):  # one byte in twenty stays the same over 40 bytes
+        faint[i], faint[i + 13] = 7, 9
+    rows = segmentation.field_length(blobs(spark, draw.randbytes(3000) * 4, bytes(faint), b"short")).collect()
+    assert [(r["lag"], r["confidence"]) for r in rows if r["blob_id"] == 0] == [(3000, 1.0)]
+    found = {r["lag"]: r["confidence"] for r in rows if r["blob_id"] == 1}
+    assert 0.02 <= found[40] < 0.1 and all(lag % 40 == 0 for lag in found) and not any(r["blob_id"] == 2 for r in rows)
