@@ -45,7 +45,7 @@ def succeeded(before: bytes, after: bytes, name: str) -> bool:
 def _attempts(data: bytes, names: Sequence[str]) -> Iterator[tuple]:
     for name in names:
         try:
-            out = codecs.DECODERS[name](data, codecs.output_limit(data))
+            out = codecs.decode_whole(name, data)
             yield name, len(out), _entropy(out), succeeded(data, out, name), None, out
         except Exception as problem:  # decoders fail in many ways on bytes that are not theirs
             yield name, 0, None, False, type(problem).__name__, None

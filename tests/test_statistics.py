@@ -159,3 +159,14 @@ def test_field_lengths_up_to_4096_and_of_low_confidence(spark):
     assert [(r["lag"], r["confidence"]) for r in rows if r["blob_id"] == 0] == [(3000, 1.0)]
     found = {r["lag"]: r["confidence"] for r in rows if r["blob_id"] == 1}
     assert 0.02 <= found[40] < 0.1 and all(lag % 40 == 0 for lag in found) and not any(r["blob_id"] == 2 for r in rows)
+
+
+def test_trials_decode_whole_outputs_or_fail(monkeypatch):
+    for text in (random.Random(4).randbytes(800_000).hex().encode(), b"words and words again. " * 1000):
+        (tried,) = trial._attempts(codecs.ENCODERS["Gzip"](text), ("Gzip",))
+        assert tried[1] == len(text) and tried[4] is None and tried[5] == text
+    packed = codecs.ENCODERS["Gzip"](random.Random(4).randbytes(800_000).hex().encode())
+    assert trial.chain_of(packed, 1)[0]["output_size"] == 1_600_000
+    monkeypatch.setattr(codecs, "OUTPUT_BYTES", 1000)
+    (tried,) = trial._attempts(codecs.ENCODERS["Gzip"](text), ("Gzip",))
+    assert tried[1:] == (0, None, False, "ValueError", None)
