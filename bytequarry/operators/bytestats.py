@@ -16,8 +16,6 @@ from bytequarry.functions import kernels, ladders
 #: Chi-square below which bytes count as incompressible, and the least size for that.
 INCOMPRESSIBLE = 310.0
 INCOMPRESSIBLE_BYTES = 64
-#: Bytes that the test reads: half from the head and half from the tail of larger blobs.
-TEST_BYTES = 256 * 1024
 # Coefficients of the complementary error function.
 ERFC = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
 ERFC_SCALE = 0.3275911
@@ -113,16 +111,9 @@ def histogram_rows(blobs: DataFrame, id_col: str = "blob_id", data_col: str = "d
     return rows.select(id_col, F.posexplode("counts").alias("byte", "n")).where("n > 0")
 
 
-def test_sample(data: Column, size: Column, limit: int = TEST_BYTES) -> Column:
-    """The bytes that the incompressible test reads."""
-    half = limit // 2
-    return F.when(size <= limit, data).otherwise(F.concat(F.substring(data, 1, half), F.substring(data, -half, half)))
-
-
 def incompressible(blobs: DataFrame, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
-    """id, chi_square, incompressible."""
-    data = F.col(data_col)
-    rows = with_counts(blobs.select(id_col, test_sample(data, F.octet_length(data)).alias("data")))
+    """id, chi_square, incompressible, of all bytes."""
+    rows = with_counts(blobs.select(id_col, F.col(data_col).alias("data")))
     chi = chi_square(F.col("counts"), F.col("n"))
     return rows.select(id_col, chi.alias("chi_square"), ((F.col("n") >= INCOMPRESSIBLE_BYTES) & (chi < INCOMPRESSIBLE)).alias("incompressible"))
 

@@ -170,3 +170,11 @@ def test_trials_decode_whole_outputs_or_fail(monkeypatch):
     monkeypatch.setattr(codecs, "OUTPUT_BYTES", 1000)
     (tried,) = trial._attempts(codecs.ENCODERS["Gzip"](text), ("Gzip",))
     assert tried[1:] == (0, None, False, "ValueError", None)
+
+
+def test_incompressible_reads_the_middle_of_long_blobs(spark):
+    even = bytes(range(256)) * 512
+    rows = bytestats.incompressible(blobs(spark, even + b"a" * 100_000 + even, even * 3)).orderBy("blob_id").collect()
+    counts = [1024 + 100_000 * (i == 97) for i in range(256)]
+    assert rows[0]["chi_square"] == pytest.approx(256 * sum(n * n for n in counts) / sum(counts) - sum(counts))
+    assert [r["incompressible"] for r in rows] == [False, True]
