@@ -1,6 +1,7 @@
 import itertools
 import random
 import re
+from array import array
 
 import pytest
 from pyspark.sql import functions as F
@@ -181,14 +182,16 @@ def slow_bits(counts, order, text, alphabet):
 
 def test_code_lengths_by_definition():
     samples = {"a": ["abracadabra abra"], "b": ["xylophone zebra xylem"]}
-    model = ppm_langid.train(samples, order=2, max_contexts=10_000)
+    model = ppm_langid.train(samples, order=2, contexts=10_000)
     used = set(b"".join(t.encode() for v in samples.values() for t in v))
-    contexts = {}
+    contexts = {}  # the most that a language sees it
     for v in samples.values():
+        own = {}
         for t in v:
             for n in range(3):
                 for i in range(len(t) - n + 1):
-                    contexts[t[i : i + n].encode()] = contexts.get(t[i : i + n].encode(), 0) + 1
+                    own[t[i : i + n].encode()] = own.get(t[i : i + n].encode(), 0) + 1
+        contexts |= {c: max(k, contexts.get(c, 0)) for c, k in own.items()}
     for text in (b"abra", b"xylem zebra", b"cab"):
         for k, v in enumerate(samples.values()):
             counts = {}
@@ -222,7 +225,11 @@ def test_language_of_held_out_texts(spark):
 
 
 def test_lanes_and_blocks_do_not_change_code_lengths(monkeypatch):
-    model = ppm_langid.train({"a": ["some words of a text " * 20], "b": ["quelques mots d'un texte " * 20]})
+    for order in (1, 4, 10):
+        _lanes(monkeypatch, ppm_langid.train({"a": ["some words of a text " * 20], "b": ["quelques mots d'un texte " * 20]}, order))
+
+
+def _lanes(monkeypatch, model):
     texts = [b"some words", b"", b"q" * 3000, b"mots d'un texte " * 200, b"x"]
     whole = ppm_langid.code_lengths(model, texts)
     for lanes in (1, 3, 50):
@@ -232,6 +239,24 @@ def test_lanes_and_blocks_do_not_change_code_lengths(monkeypatch):
     assert abs(alone - whole).max() < 1e-3
 
 
+def test_training_samples_are_bounded(spark):
+    rows = [(None, f"call +1 555 771 {i:04d} now, number {i}") for i in range(300)] + [(None, None), (1, "9" * 5000)] + [(2, "mail a@b.cd")] * 50
+    docs = frame(spark, rows)
+    seen = []
+    for rows_, bytes_ in ((20, 1 << 20), (1000, 1 << 20), (1000, 400)):
+        taken = {}
+        train, pii_crf.train = pii_crf.train, lambda texts: taken.setdefault("t", texts)
+        try:
+            pii_crf.fit(docs, train_rows=rows_, train_bytes=bytes_)
+        finally:
+            pii_crf.train = train
+        assert len(taken["t"]) <= rows_ and len(set(taken["t"])) == len(taken["t"]) and sum(map(len, taken["t"])) <= bytes_
+        seen.append(len(taken["t"]))
+    assert seen[0] > 0 and seen[1] == 302 and 5 < seen[2] < 20
+    model = ppm_langid.fit(docs, rows_per_language=7)
+    assert model is not None and model.languages == ["en"]
+
+
 def every_path(pieces, group):
     if not group:
         yield 0.0, []
@@ -247,9 +272,36 @@ def test_nbest_equals_all_paths(text):
     pieces = nbest_pieces.load()
     every = sorted((s for s, _ in every_path(pieces, "▁" + text.replace(" ", "▁"))), reverse=True)
     got = pieces.encode(text, 6)
-    assert [s for s, _ in got] == every[:6]
-    assert len({tuple(ids) for _, ids in got}) == len(got)
-    assert all(pieces.decode(ids) == text for _, ids in got)
+    assert [s.score for s in got] == every[:6]
+    assert len({s.ids for s in got}) == len(got)
+    assert all(pieces.decode(array("i", s.ids)) == text and s.whole for s in got)
+
+
+def test_groups_solved_together_are_those_solved_alone(monkeypatch):
+    pieces = nbest_pieces.load()
+    texts = ["", "The quick brown fox", "日本 語 a▁b ▁▁ x", "Straße 🙂🙂 naïveté", None, "a  b\n\n c", "q" * 300 + " tail", " lead and trail ", "0123 45.6 +(x)"] * 3
+    alone = [None if t is None else [pieces.solve(g) for g in pieces.groups(t)] for t in texts]
+    for chars in (1, 30, 1 << 19):
+        monkeypatch.setattr(nbest_pieces, "BATCH_CHARS", chars)
+        pieces.forget()
+        got = list(pieces.encode_all(texts))
+        assert len(got) == len(texts)
+        for text, best, groups in zip(texts, got, alone):
+            if text is None:
+                assert best == []
+                continue
+            assert best[0].score == pytest.approx(sum(g[0] for g in groups)) and best[0].ids == b"".join(g[1] for g in groups)
+            assert all(s.whole and pieces.decode(array("i", s.ids)) == text for s in best)
+            assert [s.score for s in best] == sorted((s.score for s in best), reverse=True)
+    pieces.forget()
+    assert not nbest_pieces.Pieces.spells(pieces, [pieces.id["a"]], "b")
+
+
+def test_a_mark_of_the_text_itself_comes_back(spark):
+    rows = [(1, "a▁b"), (2, "▁"), (3, "▁ ▁▁x "), (4, "a b")]
+    out = nbest_pieces.encode_nbest(frame(spark, rows)).select("doc_id", F.explode("segmentations.ids").alias("ids"))
+    assert {(r["doc_id"], r["text"]) for r in nbest_pieces.decode_ids(out).collect()} == set(rows)
+    assert all(r["restored"] for r in nbest_pieces.segmentation_digests(frame(spark, rows)).collect())
 
 
 def test_viterbi_and_search_agree_and_the_library_decodes():
@@ -259,11 +311,11 @@ def test_viterbi_and_search_agree_and_the_library_decodes():
     pieces = nbest_pieces.load()
     for text in ("The quick brown fox, jumping", "Straße naïveté", "a\tb\r\nc", "🙂 emoji", "word" * 40):
         for group in pieces.groups(text):
-            best, ids, gap = pieces.solve(group)
+            best, ids, gap, whole = pieces.solve(group)
             found = pieces.paths(group, 2)
-            assert (best, list(ids)) == found[0]
+            assert (best, list(array("i", ids)), whole) == (*found[0], True)
             assert gap == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
-        assert processor.decode(pieces.encode(text, 1)[0][1]) == text
+        assert processor.decode(list(array("i", pieces.encode(text, 1)[0].ids))) == text
 
 
 def test_encoding_rows(spark):
