@@ -8,6 +8,7 @@ that histogram, which has one row for each distinct length.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -15,11 +16,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytequarry.llm.common import slices
 from bytequarry.session import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern that belongs to the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the characters that \s stands for in that pattern (Unicode's White_Space).
+_BLANKS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space from this length on are cut here; the tokenizer's matcher holds a state a character of such a run and breaks off at a million.
+LONG_RUN = 10_000
+_RUN = re.compile(f"[{_BLANKS}]{{{LONG_RUN},}}")
 #: Lengths of one block of the two-level sums.
 BLOCK = 1024
 
@@ -33,13 +40,30 @@ def _encoder(path: str, pattern: str):
     return tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def count_tokens(encoder, text: str, long_run: re.Pattern = _RUN) -> int:
+    """The number of ids of a whole text.
+
+    The pattern takes a run of white space as one part, up to its last character
+    if another kind follows. Long runs are given to the merges as that part.
+    """
+    total, at = 0, 0
+    for run in long_run.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        total += len(encoder.encode_ordinary(text[at : run.start()])) + len(encoder._encode_single_piece(text[run.start() : end]))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:] if at else text))
+
+
 def encoded_lengths(documents: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER, pattern: str = PATTERN) -> DataFrame:
-    """tokens: the encoded length of each whole text, in no order; null and empty texts have 0."""
+    """tokens: the encoded length of each whole text, in no order; null and empty texts have 0.
+
+    Any ``pattern`` must end as PATTERN does for texts with runs of LONG_RUN blanks.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer, pattern).encode_ordinary
-        for batch in batches:
-            lengths = [len(encode(t)) if t else 0 for t in batch.column(0).to_pylist()]
+        encoder = _encoder(tokenizer, pattern)
+        for batch in slices(batches):
+            lengths = [count_tokens(encoder, t) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["tokens"])
 
     return documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "tokens long")

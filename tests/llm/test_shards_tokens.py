@@ -30,6 +30,22 @@ def test_shards(spark):
     assert len({(r["shard"], r["grown_shard"]) for r in out if r["doc_id"] == 7}) == 1
 
 
+def test_very_long_runs_are_counted_whole(spark):
+    import random
+    import re
+
+    encoder = token_hist._encoder(token_hist.TOKENIZER, token_hist.PATTERN)
+    short, rnd = re.compile(f"[{token_hist._BLANKS}]{{3,}}"), random.Random(3)
+    kinds = [" ", "  ", "\n", "\t", "a", "b1", "...", "'s", "\u3000", "\x1c", "\x85", "é"]
+    for _ in range(800):
+        text = "".join(rnd.choice(kinds) * rnd.randint(1, 6) for _ in range(rnd.randint(0, 12)))
+        assert token_hist.count_tokens(encoder, text, short) == len(encoder.encode_ordinary(text))
+    rows = [(i, c * 2_000_000 + tail) for i, (c, tail) in enumerate((c, t) for c in " \na1" for t in ("", "x"))]
+    got = [r["tokens"] for r in token_hist.encoded_lengths(frame(spark, rows)).collect()]
+    pieces = [len(encoder._encode_single_piece(c * 2_000_000)) for c in " \n"]
+    assert sorted(got)[-1] >= max(pieces) and pieces[0] in got and pieces[1] in got and min(got) > 0
+
+
 def test_growing_moves_rows_only_into_the_new_subtree(spark):
     rows = frame(spark, [(i, "x") for i in range(1500)])
     topology = hash_tree.Topology(((3, 1), (2,)))
