@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,9 +28,15 @@ REVISIT_BYTES = 0
 #: Compressed size at which a writer starts the next archive file.
 FILE_BYTES = 16 << 20
 LEVEL = 3
+#: Longest header of a record that is read.
+MOST_HEADER_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 #: Revisited digests (20 bytes each) up to this number are broadcast, more are joined by a shuffle.
 BROADCAST_DIGESTS = 500_000
+#: Folder, hidden from readers, in which files wait for their place.
+ASIDE = "_aside"
+#: Captures that refer to one response, above which its page id is broadcast: there are at most rows over this number of such responses.
+HOT_REFERS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -91,11 +98,15 @@ def write_captures(
     in its metadata. Repeated rows are written again. An empty table gives an
     empty folder.
 
-    A file is written under a hidden name and then renamed; its name is decided
-    by the partition and its place in it, so a task that runs again replaces its
-    own files. ``folder`` is a URI that executors can write to.
+    Files are written aside, under a name of the task's attempt. The manifest, a
+    table that Spark commits, tells which of them belong to the attempts that
+    count; these alone then get their place and what is left aside is deleted.
+    So tasks that die, run twice or again in another order neither lose nor
+    repeat a record. ``folder`` is a URI of a file system that Arrow knows
+    (file, hdfs, s3, gs, abfs; s3a and abfss are taken as s3 and abfs).
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
+    _file_system(folder)  # an unknown scheme fails here, not in a task
     data = F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), data.alias("payload"))
     digest = F.unhex(F.sha1("payload")).alias("digest")
@@ -104,25 +115,26 @@ def write_captures(
     again = materialize(again.where("n > 1").select("digest", "first"), "warc-digests")
     if again.count() <= BROADCAST_DIGESTS:
         again = F.broadcast(again)
-    rows = rows.select("*", F.when(big, F.unhex(F.sha1("payload"))).alias("digest")).join(again, "digest", "left")
+    # Rows too small to revisit anything have keys of their own (none is 20 bytes long), lest they meet in one task.
+    alone = F.concat(F.lit(b"\0"), F.xxhash64("page_id", "url").cast("string").cast("binary"), F.lit(b"|" * 20))
+    rows = rows.select("*", F.when(big, F.unhex(F.sha1("payload"))).otherwise(alone).alias("digest")).join(again, "digest", "left")
     rows = rows.select("page_id", "url", "payload", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
         from pyspark import TaskContext
 
-        system, path = fs.FileSystem.from_uri(folder)
-        system.create_dir(path, recursive=True)
+        system, path = _file_system(folder)
+        system.create_dir(f"{path}/{ASIDE}", recursive=True)
         context = TaskContext.get()
         part, count, held, inside = context.partitionId(), 0, io.BytesIO(), 0
 
         def flush() -> pa.RecordBatch:
             name = f"{part:08d}-{count:05d}.warc.gz"
-            hidden = f"{path}/.{name}-{context.taskAttemptId()}"
-            with system.open_output_stream(hidden, compression=None) as out:
+            aside = f"{ASIDE}/{name}-{context.taskAttemptId()}"
+            with system.open_output_stream(f"{path}/{aside}", compression=None) as out:
                 out.write(held.getvalue())
-            system.move(hidden, f"{path}/{name}")
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([inside], pa.int64()), pa.array([held.tell()], pa.int64())], ["file", "records", "bytes"])
+            columns = [pa.array([name]), pa.array([aside]), pa.array([inside], pa.int64()), pa.array([held.tell()], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, ["file", "aside", "records", "bytes"])
 
         for batch in batches:
             for page_id, url, payload, first in zip(*(batch.column(i) for i in range(4))):
@@ -138,38 +150,126 @@ def write_captures(
 
     spark = pages.sparkSession
     place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)  # there is none if no task runs
-    materialize(rows.mapInArrow(write, "file string, records long, bytes long"), "warc-manifest")
+    hadoop = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    hadoop.mkdirs(place)  # there is none if no task runs
+    manifest = materialize(rows.mapInArrow(write, "file string, aside string, records long, bytes long"), "warc-manifest")
+    publish(manifest, folder)
+    hadoop.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{ASIDE}"), True)
     return folder
 
 
-_FIELDS = ("record_id", "record_type", "concurrent_to", "refers_to_id", "target_uri", "date", "content_type", "block_bytes", "http_status", "payload_bytes", "payload_digest", "page_id")
+def _file_system(folder: str):
+    from pyarrow import fs
+
+    scheme, colon, rest = folder.partition("://")
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + colon + rest)
+
+
+def publish(manifest: DataFrame, folder: str) -> None:
+    """Moves the files that the manifest names to their places; a file that is there already stays, so this can run again."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, path = _file_system(folder)
+        for batch in batches:
+            for name, aside in zip(batch.column("file").to_pylist(), batch.column("aside").to_pylist()):
+                try:
+                    system.move(f"{path}/{aside}", f"{path}/{name}")
+                except OSError:  # a task that ran before this one has moved it
+                    if system.get_file_info(f"{path}/{name}").type != fs.FileType.File:
+                        raise
+            yield pa.RecordBatch.from_arrays([batch.column("file")], ["file"])
+
+    manifest.mapInArrow(move, "file string").write.format("noop").mode("overwrite").save()
+
+
+_FIELDS = ("record_id", "record_type", "concurrent_to", "refers_to_id", "target_uri", "date", "content_type", "block_bytes", "http_status", "payload_bytes", "payload_digest", "page_id", "error")
 RECORD_SCHEMA = (
     "record_id string, record_type string, concurrent_to string, refers_to_id string, target_uri string, date string, content_type string, "
-    "block_bytes long, http_status string, payload_bytes long, payload_digest string, page_id long"
+    "block_bytes long, http_status string, payload_bytes long, payload_digest string, page_id long, error string"
 )
 
 
+#: Fixed value: the first bytes of a gzip member.
+_MEMBER = b"\x1f\x8b\x08"
+_CHUNK = 1 << 16
+
+
 def parse_archive(content: bytes) -> Iterator[tuple]:
-    """(fields..., payload) of each record of a compressed archive; reading stops at a cut or malformed record."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(content))
-    try:
-        while (line := stream.readline()) == b"\r\n":
-            pass
-        while line.startswith(b"WARC/"):
-            headers = {}
-            while (line := stream.readline().rstrip(b"\r\n")):
-                name, _, value = line.partition(b":")
-                headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "replace")
-            length = int(headers["content-length"])
-            block = stream.read(length)
-            if len(block) < length:
-                return
-            yield _row(headers, block)
-            while (line := stream.readline()) == b"\r\n":
-                pass
-    except (EOFError, OSError, zlib.error, KeyError, ValueError):
-        return
+    """(fields..., payload) of each record of a compressed archive, whether it has a gzip member a record or not.
+
+    What can't be read (a damaged member, a malformed or cut record) is told by a
+    row with nothing but ``error``, one for each run of damage; reading resumes at
+    the next member.
+    """
+    at, held, need, broken, decoder = 0, bytearray(), 0, False, None
+    while at < len(content):
+        start, decoder, lost, first = at, zlib.decompressobj(31), False, True
+        while not decoder.eof and at < len(content):
+            chunk = content[at : at + _CHUNK]
+            try:
+                data = decoder.decompress(chunk)
+            except zlib.error as error:
+                if not broken:
+                    yield _error(error)
+                broken, held, need = True, bytearray(), 0
+                at = content.find(_MEMBER, start + 1)
+                at = len(content) if at < 0 else at
+                break
+            at += len(chunk) - len(decoder.unused_data)
+            if first and held.strip(b"\r\n") and data.startswith(b"WARC/"):
+                yield _error("a record is cut")
+                held, need = bytearray(), 0
+            first = first and not data
+            if lost:  # the rest of a member behind a malformed record
+                continue
+            held += data
+            try:
+                while len(held) >= need:
+                    row, used, need = _take(held)
+                    if row is None:
+                        break
+                    del held[:used]
+                    broken = False
+                    yield row
+            except ValueError as error:
+                if not broken:
+                    yield _error(error)
+                broken, lost, held, need = True, True, bytearray(), 0
+    if (held.strip(b"\r\n") or decoder and not decoder.eof) and not broken:
+        yield _error("a record is cut")
+
+
+def _error(error: object) -> tuple:
+    return (*[None] * (len(_FIELDS) - 1), str(error), None)
+
+
+def _take(held: bytearray) -> tuple[tuple | None, int, int]:
+    """(row, bytes used, 0) of the first record of the buffer, or (None, 0, bytes needed to try again)."""
+    start = 0
+    while held.startswith(b"\r\n", start):
+        start += 2
+    if len(held) < start + 5:
+        return None, 0, len(held) + 1
+    if not held.startswith(b"WARC/", start):
+        raise ValueError(f"no record begins with {bytes(held[start : start + 20])!r}")
+    end = held.find(b"\r\n\r\n", start)
+    if end < 0:
+        if len(held) - start > MOST_HEADER_BYTES:
+            raise ValueError("a header has no end")
+        return None, 0, 2 * len(held)
+    headers = {}
+    for line in bytes(held[start:end]).split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+    length = headers.get("content-length", "")
+    if not re.fullmatch("[0-9]{1,18}", length):
+        raise ValueError(f"a record has the length {length[:20]!r}")
+    stop = end + 4 + int(length)
+    if len(held) < stop:
+        return None, 0, stop
+    return _row(headers, bytes(held[end + 4 : stop])), stop, 0
 
 
 def _row(headers: dict[str, str], block: bytes) -> tuple:
@@ -192,14 +292,14 @@ def _row(headers: dict[str, str], block: bytes) -> tuple:
                 page_id = int(value)
     return (
         headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-refers-to"), headers.get("warc-target-uri"),
-        headers.get("warc-date"), headers.get("content-type"), len(block), status, size, digest, page_id, payload,
+        headers.get("warc-date"), headers.get("content-type"), len(block), status, size, digest, page_id, None, payload,
     )
 
 
 def read_records(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
     """One row a record of all .warc.gz files in ``folder``, with the payload if asked for.
 
-    Digests and sizes of responses are those of the payload as read; those of
+    A row with an ``error`` stands for what could not be read. Digests and sizes of responses are those of the payload as read; those of
     revisits come from their headers.
     """
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.warc.gz").load(folder)
@@ -252,9 +352,16 @@ def assemble(records: DataFrame) -> DataFrame:
     whole = whole.withColumn("page_id", F.col("metadata.page_id")).withColumn("refers_to_id", refers)
     named = beside("metadata").select(F.col("record_id").alias("refers_to_id"), F.col("metadata.page_id").alias("refers_to"))
     answered = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id")).distinct()
-    return whole.join(named.join(answered, "refers_to_id", "left_semi"), "refers_to_id", "left").select(
-        "record_id", "record_type", "page_id", "target_uri", "payload_bytes", "payload_digest", "refers_to", "request", "response", "metadata"
-    )
+    asked = main.groupBy("refers_to_id").agg(F.count("*").alias("__n")).where(F.col("refers_to_id").isNotNull())
+    named = asked.join(named.join(answered, "refers_to_id", "left_semi"), "refers_to_id")
+    # A response that very many captures refer to is looked up without a shuffle of these.
+    hot = named.where(F.col("__n") >= HOT_REFERS).select(F.col("refers_to_id").alias("__hot"), F.col("refers_to").alias("__hot_to"))
+    whole = whole.join(F.broadcast(hot), F.col("refers_to_id") == F.col("__hot"), "left")
+    whole = whole.withColumn("refers_to_id", F.when(F.col("__hot").isNotNull(), F.concat(F.lit("none "), F.coalesce("record_id", F.lit("")))).otherwise(F.col("refers_to_id")))
+    return whole.join(named.where(F.col("__n") < HOT_REFERS).drop("__n"), "refers_to_id", "left").select(
+        "record_id", "record_type", "page_id", "target_uri", "payload_bytes", "payload_digest",
+        F.coalesce("__hot_to", "refers_to").alias("refers_to"), "request", "response", "metadata",
+    )
 
 
 #: DuckDB SQL for what comes back of pages.
@@ -265,6 +372,6 @@ m AS (SELECT *, max(page_id) OVER (PARTITION BY x) AS first FROM d)
 SELECT page_id, payload_bytes,
        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          CAST(((('0x' || substr(x, CAST(5 * (i // 4) + 1 AS INT), 5))::INT >> CAST(5 * (3 - i % 4) AS INT)) & 31) + 1 AS INT), 1)), '') AS payload_digest,
-       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to FROM m
+       CASE WHEN first IS NULL OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first IS NULL OR page_id = first THEN NULL ELSE first END AS refers_to FROM m
 """
