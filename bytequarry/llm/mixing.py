@@ -53,7 +53,7 @@ def source_targets(
     ranked = ranked.withColumn("__limit", limit).withColumn("__ratio", F.col("__limit") / F.col("weight"))
     order = Window.orderBy("__ratio", "rank")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
+    after = Window.orderBy(F.desc("__ratio"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)  # a growing frame: Spark sums one that shrinks anew for each row
     everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (
         F.sum("source_size").over(Window.partitionBy()) * float(share)
@@ -90,8 +90,7 @@ def mix(
 
     No task holds a whole source: running sums are made in two levels, over
     hash buckets of about ``rows_per_task`` rows and then within a bucket, and
-    only the one slice of finish times in which the budget ends is sorted row
-    by row.
+    only one slice of finish times, cut until it is small, is sorted row by row.
     """
     sized = documents.select(
         F.col(id_col).alias("doc_id"),
@@ -120,7 +119,7 @@ def mix(
 
     budget_row = queued.agg(F.sum("size").alias("n")).first()
     budget = float(share) * float(budget_row["n"] or 0)
-    cut = _cut(_copies(queued, repeats), budget, max(4096, slices))
+    cut = _cut(_copies(queued, repeats), budget, max(4096, slices), rows_per_task)
     if cut is None:
         copies = F.lit(0)
     else:
@@ -172,27 +171,42 @@ def _copies(queued: DataFrame, repeats: int) -> DataFrame:
     )
 
 
-def _cut(copies: DataFrame, budget: float, slices: int) -> Column | None:
+def _cut(copies: DataFrame, budget: float, slices: int, rows_per_task: int) -> Column | None:
     """The last copy within the budget as a struct literal, or None if there is none.
 
-    Sums by slice of finish time come to the driver: at most ``slices`` + 1 rows.
+    The copies are cut into slices of finish time, whose sums come to the driver:
+    at most ``slices`` + 1 rows. The slice in which the budget ends is cut again,
+    by finish time or, where many copies finish at once, by rank, until it is
+    small enough for one task to sort. Copies of one time and rank are copies of
+    a few documents, since within a source every word moves the time.
     """
+    order = ["vft", "rank", "h", "__id", "size", "copy"]
+    spent, last, part = 0, None, copies
     cell = F.least(F.floor(F.col("vft") * slices / 2), F.lit(slices)).cast("long")
-    copies = copies.withColumn("cell", cell)
-    spent, at, last = 0, None, None
-    for row in sorted(copies.groupBy("cell").agg(F.sum("size").alias("n")).collect()):
-        if spent + row["n"] > budget:
-            at = row["cell"]
+    while True:
+        sums = part.groupBy(cell.alias("cell")).agg(
+            F.sum("size").alias("n"), F.count("*").alias("rows"), F.min("vft").alias("a"), F.max("vft").alias("b"), F.min("rank").alias("x"), F.max("rank").alias("y")
+        )
+        at = None
+        for row in sorted(sums.collect()):
+            if spent + row["n"] > budget:
+                at = row
+                break
+            spent, last = spent + row["n"], part.where(cell == row["cell"])
+        if at is None:
             break
-        spent, last = spent + row["n"], row["cell"]
-    order = ["vft", "rank", "h", "__id", "size", "copy"]
+        part = part.where(cell == at["cell"])
+        if at["rows"] <= rows_per_task or (at["a"], at["x"]) == (at["b"], at["y"]):
+            break
+        key, low, high = ("vft", at["a"], at["b"]) if at["a"] < at["b"] else ("rank", at["x"], at["y"])
+        cell = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(float(high - low)) * slices), F.lit(slices - 1)).cast("long")
     best = None
     if at is not None:
         run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        inside = copies.where(F.col("cell") == at).withColumn("__run", F.sum("size").over(run))
+        inside = part.withColumn("__run", F.sum("size").over(run))
         best = inside.where(F.col("__run") + spent <= budget).agg(F.max(F.struct(*order)).alias("m")).first()["m"]
     if best is None and last is not None:
-        best = copies.where(F.col("cell") == last).agg(F.max(F.struct(*order)).alias("m")).first()["m"]
+        best = last.agg(F.max(F.struct(*order)).alias("m")).first()["m"]
     if best is None:
         return None
     return F.struct(
@@ -203,7 +217,7 @@ def _cut(copies: DataFrame, budget: float, slices: int) -> Column | None:
 #: DuckDB SQL for the rows of ``mix`` over documents, without ``copies``.
 MIX_SQL = f"""
 WITH d AS (
-  SELECT doc_id, coalesce('0' || source, '1') AS k,
+  SELECT row_number() OVER () AS rn, doc_id, coalesce('0' || source, '1') AS k,
          len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS size,
          CAST(('0x' || substr(md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '\\N')), 1, 13)) AS BIGINT) AS h
   FROM documents),
@@ -220,8 +234,8 @@ q AS (SELECT d.*, t.source_size, t.target, t.rank,
       sum(size) OVER (PARTITION BY d.k ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN t ON d.k = t.k),
 c AS (SELECT *, (source_size * copy + upto) / target AS vft FROM q, (VALUES (0), (1)) AS x(copy) WHERE size > 0 AND target > 0),
 g AS (SELECT *, sum(size) OVER (ORDER BY vft, rank, h, doc_id, size, copy ROWS UNBOUNDED PRECEDING) AS total FROM c),
-n AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM g
-      WHERE total <= 1.5::DOUBLE * (SELECT sum(size) FROM d) GROUP BY doc_id)
+n AS (SELECT rn, CAST(sum(size) AS BIGINT) AS taken FROM g
+      WHERE total <= 1.5::DOUBLE * (SELECT sum(size) FROM d) GROUP BY rn)
 SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, q.target, coalesce(n.taken, 0) AS taken
-FROM q LEFT JOIN n USING (doc_id)
+FROM q LEFT JOIN n USING (rn)
 """

@@ -1,3 +1,8 @@
+import hashlib
+
+import pytest
+from pyspark.sql import functions as F
+
 from bytequarry.llm import mixing
 
 SCHEMA = "doc_id long, text string, source string, size string, target int, rank int"
@@ -61,8 +66,51 @@ def test_edges(spark):
 
 def test_mixed_documents_repeat_rows(spark):
     docs = frame(spark, rows_of(60, ["a", "b"]) + [(5, "same text", "a")] * 2)
-    taken = {(r["doc_id"], r["size"]): r["copies"] for r in mixing.mix(docs).collect()}
+    named = docs.withColumn("__row", F.concat_ws("|", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")))
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    total = sum(len(r["text"].split()) for r in out.collect())
-    assert abs(total - sum(s * c for (_, s), c in taken.items())) <= 60
+    assert sum(len(r["text"].split()) for r in out.collect()) == sum(r["taken"] for r in mixing.mix(named, id_col="__row").collect())
+
+
+def prefix_of_finish_times(rows, out, share=1.5):
+    """Words taken by (id, source), from the targets of ``out``: all copies in order while they fit."""
+    target = {r["source"]: (r["target"], r["source_size"]) for r in out}
+    rank = {s: i for i, s in enumerate(sorted(target, key=lambda n: (n is None, n)))}
+    draw = lambda i: int(hashlib.md5(f"mix-1|{i}".encode()).hexdigest()[:13], 16)
+    copies, upto = [], dict.fromkeys(target, 0)
+    for i, text, source in sorted(rows, key=lambda r: (draw(r[0]), r[0])):
+        size = len(text.split())
+        upto[source] += size
+        want, whole = target[source]
+        copies += [((whole * c + upto[source]) / want, rank[source], draw(i), i, source, size, c) for c in range(2) if want > 0]
+    taken, total = {}, 0
+    for _, _, _, i, source, size, _ in sorted(copies, key=lambda c: c[:4] + c[5:]):
+        total += size
+        if total > share * sum(len(t.split()) for _, t, _ in rows):
+            break
+        taken[i, source] = taken.get((i, source), 0) + size
+    return taken
+
+
+@pytest.mark.parametrize("rows_per_task", [5, 100_000])
+def test_copies_that_finish_at_once(spark, monkeypatch, rows_per_task):
+    """Sources of one document each: whole crowds finish at 0.5 and at 1, so the cut goes through a tie."""
+    alike = [(i, "w w w", f"s{i:05d}") for i in range(400)]
+    mixed = [(i, " ".join(["w"] * (1 + i % 5)), f"s{i % 150:05d}") for i in range(500)]
+    for rows in (alike, mixed):
+        out = mixing.mix(frame(spark, rows), rows_per_task=rows_per_task).collect()
+        want = prefix_of_finish_times(rows, out)
+        assert {(r["doc_id"], r["source"]): r["taken"] for r in out if r["taken"]} == want
+
+
+def test_sql_and_operator_agree_on_null_and_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    rows = rows_of(40, ["a", "b", None]) + [(None, "x y z", "a"), (None, "u v", "b"), (7, "p q r s", "c"), (7, "p q", "a"), (7, "p q", "a"), (8, None, "a")]
+    frame(spark, rows).coalesce(1).write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    want = con.execute(mixing.MIX_SQL).fetchall()
+    got = mixing.mix(frame(spark, rows)).select("doc_id", "size", "source_size", "target", "taken").collect()
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(map(key, want)) == sorted(map(key, got))
