@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word is a longest run of characters other than ASCII white space.
@@ -38,3 +38,26 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
     pa.default_memory_pool().release_unused()
+
+
+def training_texts(picked: DataFrame, rows: DataFrame, most_bytes: int, *extra: str) -> list[tuple]:
+    """(id, text, *extra) of the rows that ``picked`` names, in the order of the draw.
+
+    ``rows`` has __id, __text, __hash (of the text) and ``extra``; ``picked`` has
+    __h, __id, __hash and __bytes of a bounded number of them. Rows are named by id
+    and text, so a repeated id brings no more texts than were picked; equal rows
+    come once. Texts that would take the sum of bytes above ``most_bytes`` are
+    left out.
+    """
+    names, left = [], most_bytes
+    for row in sorted(picked.distinct().collect()):
+        if row["__bytes"] <= left:
+            names.append((row["__id"], row["__hash"]))
+            left -= row["__bytes"]
+    if not names:
+        return []
+    named = picked.sparkSession.createDataFrame(names, "__id string, __hash long")
+    texts = rows.join(F.broadcast(named), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash", *extra])
+    place = {name: i for i, name in enumerate(names)}
+    found = sorted(texts.collect(), key=lambda r: (place[r["__id"], r["__hash"]], *(r[x] for x in extra)))
+    return [(r["__id"], r["__text"], *(r[x] for x in extra)) for r in found]

@@ -8,7 +8,8 @@ skip potential, however far apart: each is tied to the occurrence before it, and
 to an observed one if there is any. Loopy sum-product message passing runs over
 the whole document until it settles; tokens of base spans are observed. A token that the field
 gives a kind, and that skip edges tie to a base span of that kind, becomes a span
-of its own: a second mention that the pattern misses.
+of its own: a second mention that the pattern misses. So the field finds nothing
+in a document without any base span.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import draw, id_text, slices
+from bytequarry.llm.common import draw, id_text, slices, training_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
-#: Bound of the training sample: so many documents, by smallest hash of the id.
+#: Bounds of the training sample: so many documents, by smallest hash of the id, and bytes of text.
 TRAIN_ROWS = 4000
+TRAIN_BYTES = 64 << 20
 #: Least marginal of an added span, change below which a document's messages have settled, and a guard against messages that never do.
 CONFIDENCE = 0.9
 SETTLED = 1e-6
@@ -337,13 +339,17 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Field:
-    """Trains on ``train_rows`` whole documents, those with the smallest hash of the id, brought to the driver."""
-    rows = documents.select(id_text(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"))
-    picked = rows.select("__id", draw("pii-1|", F.col("__id")).alias("__h")).orderBy("__h", "__id").limit(train_rows).select("__id").distinct()
-    # train_rows ids of some dozens of bytes at most
-    sample = rows.join(F.broadcast(picked), "__id", "left_semi").where(F.col("__text").rlike("[0-9@]"))
-    return train([row["__text"] for row in sorted(sample.collect())])
+def fit(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Field:
+    """Trains on ``train_rows`` whole documents, those with the smallest hash of the id, brought to the driver.
+
+    Of repeated ids (null among them) every row counts as a document. Documents
+    that would take the texts above ``train_bytes`` are left out, as are null texts.
+    """
+    rows = documents.select(id_text(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).where(F.col("__text").isNotNull())
+    rows = rows.withColumn("__hash", F.xxhash64("__text"))
+    picked = rows.select(draw("pii-1|", F.col("__id")).alias("__h"), "__id", "__hash", F.octet_length("__text").alias("__bytes"))
+    picked = picked.orderBy("__h", "__id", "__hash").limit(train_rows)
+    return train([text for _, text in training_texts(picked, rows, train_bytes) if _SIGN.search(text)])
 
 
 def detect(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

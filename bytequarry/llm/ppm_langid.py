@@ -22,14 +22,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bytequarry.llm.common import draw, id_text, slices
+from bytequarry.llm.common import draw, id_text, slices, training_texts
 
 #: Longest context in bytes.
 ORDER = 4
-#: Bound of the training sample: so many labelled documents a language, by smallest hash.
+#: Bounds of the training sample: so many labelled documents a language, by smallest hash, and bytes of text in all.
 ROWS_PER_LANGUAGE = 300
-#: Bound of the model: contexts seen least often are left out until so many remain.
-MAX_CONTEXTS = 6000
+TRAIN_BYTES = 64 << 20
+#: Contexts of each language's trees: those it has seen least often are left out until so many remain.
+CONTEXTS_PER_LANGUAGE = 1500
+#: Parts in which a language's documents are dealt before its smallest hashes meet.
+DEALT = 32
 UNDETERMINED = "und"
 #: Lanes that walk the automaton side by side, and bytes of texts scored at a time.
 LANES = 4096
@@ -41,6 +44,7 @@ _BREAK = 0xFF  # never a byte of UTF-8
 @dataclass(frozen=True)
 class Model:
     languages: list[str]
+    order: int
     symbols: np.ndarray  # class of each byte value; the last class is the break between texts
     step: np.ndarray  # state * classes + class -> state * classes
     cost: np.ndarray  # state * classes + class, language -> bits
@@ -62,8 +66,11 @@ def _grams(data: np.ndarray, n: int, base: int) -> tuple[np.ndarray, np.ndarray]
     return np.unique(code[clean], return_counts=True)
 
 
-def train(samples: dict[str, list[str]], order: int = ORDER, max_contexts: int = MAX_CONTEXTS) -> Model:
-    """Builds the trees from whole sample texts, in the order of the language names."""
+def train(samples: dict[str, list[str]], order: int = ORDER, contexts: int = CONTEXTS_PER_LANGUAGE) -> Model:
+    """Builds the trees from whole sample texts, in the order of the language names.
+
+    The automaton's states are the contexts that any language keeps.
+    """
     languages = sorted(samples)
     joined = {x: np.frombuffer(b"".join(t.encode() + bytes([_BREAK]) for t in samples[x]), np.uint8) for x in languages}
     used = sorted(set().union(*(np.unique(d).tolist() for d in joined.values())) - {_BREAK})
@@ -75,17 +82,15 @@ def train(samples: dict[str, list[str]], order: int = ORDER, max_contexts: int =
     data = {x: symbols[d] for x, d in joined.items()}
     grams = {x: [_grams(d, n, base) for n in range(1, order + 2)] for x, d in data.items()}
 
-    totals: list[dict[int, int]] = []
-    for n in range(order):
-        codes = np.concatenate([grams[x][n][0] for x in languages] or [np.empty(0, np.int64)])
-        counts = np.concatenate([grams[x][n][1] for x in languages] or [np.empty(0, np.int64)])
-        each, at = np.unique(codes, return_inverse=True)
-        totals.append(dict(zip(each.tolist(), np.bincount(at, counts, len(each)).astype(int).tolist())))
-    every = np.sort(np.concatenate([np.fromiter(t.values(), np.int64, len(t)) for t in totals]))[::-1]
-    least = int(every[max_contexts]) + 1 if len(every) > max_contexts else 2
+    kept: list[set[int]] = [set() for _ in range(order)]
+    for x in languages:
+        every = np.sort(np.concatenate([grams[x][n][1] for n in range(order)]))[::-1]
+        least = max(2, int(every[contexts]) + 1 if len(every) > contexts else 2)
+        for n in range(order):  # a context is seen no more often than its suffix, so suffixes are kept
+            kept[n].update(grams[x][n][0][grams[x][n][1] >= least].tolist())
     index, parent, length = {(0, 0): 0}, [0], [0]
-    for n, counts in enumerate(totals, 1):
-        for code in sorted(c for c, k in counts.items() if k >= least):
+    for n, codes in enumerate(kept, 1):
+        for code in sorted(codes):
             index[n, code] = len(parent)
             parent.append(index[n - 1, code % base ** (n - 1)] if n > 1 else 0)
             length.append(n)
@@ -130,7 +135,7 @@ def train(samples: dict[str, list[str]], order: int = ORDER, max_contexts: int =
         cost[i][~done] = rest[~done]
         cost[i][:, other] += np.log2(256 - other if other < 256 else 1)  # which of the unseen bytes it is
         cost[i][:, stop] = 0
-    return Model(languages, symbols.astype(np.uint8), (step * base).astype(np.int32).reshape(-1), np.ascontiguousarray(cost.reshape(len(languages), -1).T, np.float32))
+    return Model(languages, order, symbols.astype(np.uint8), (step * base).astype(np.int32).reshape(-1), np.ascontiguousarray(cost.reshape(len(languages), -1).T, np.float32))
 
 
 def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
@@ -142,13 +147,13 @@ def code_lengths(model: Model, texts: list[bytes]) -> np.ndarray:
     classes[: len(joined)] = model.symbols[joined]
     grid = np.ascontiguousarray(classes.reshape(lanes, width).T)
     at = np.zeros(lanes, np.int32)
-    # A state depends on the last ORDER bytes only: each lane starts on the end of the one before it.
-    for row in grid[-8:] if width >= 8 else ():
+    # A state depends on the last bytes only, as many as the order: each lane starts on the end of the one before it.
+    for row in grid[-model.order :] if width >= model.order > 0 else ():
         at[1:] = model.step[at[1:] + row[:-1]]
-    if width < 8:
+    if width < model.order:
         for i in range(1, lanes):
             state = 0
-            for c in classes[max(0, i * width - 8) : i * width]:
+            for c in classes[max(0, i * width - model.order) : i * width]:
                 state = model.step[state + c]
             at[i] = state
     cells = np.empty((width, lanes), np.int32)
@@ -186,31 +191,30 @@ def fit(
     lang_col: str = "lang",
     rows_per_language: int = ROWS_PER_LANGUAGE,
     order: int = ORDER,
-    max_contexts: int = MAX_CONTEXTS,
+    contexts: int = CONTEXTS_PER_LANGUAGE,
+    train_bytes: int = TRAIN_BYTES,
 ) -> Model | None:
     """Learns from ``rows_per_language`` labelled documents of each language, those with the smallest hash.
 
     Held-out documents, null labels and null texts take no part; None if nothing
-    is left. The ids are picked from the id and label columns alone; only the
-    picked rows' texts are read and brought to the driver.
+    is left. Of repeated ids (null among them) every row counts as a document.
+    Documents that would take the texts above ``train_bytes`` are left out. Only
+    the picked rows' texts are brought to the driver.
     """
     rows = documents.select(
-        id_text(id_col).alias("__id"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("__text"), held_out(id_col).alias("__out")
-    ).where(~F.col("__out") & F.col("__lang").isNotNull())
-    order_by = Window.partitionBy("__lang").orderBy("__h", "__id")
-    picked = (
-        rows.select("__id", "__lang", draw("lang-1|", F.col("__id")).alias("__h"))
-        .withColumn("__n", F.row_number().over(order_by))
-        .where(F.col("__n") <= rows_per_language)
-        .select("__id")
-        .distinct()
-    )
-    # one row a picked document: at most rows_per_language ids of some dozens of bytes for each language
-    sample = rows.join(F.broadcast(picked), "__id", "left_semi").where(F.col("__text").isNotNull()).select("__id", "__lang", "__text")
+        id_text(id_col).alias("__id"), F.col(lang_col).cast("string").alias("__lang"), F.col(text_col).cast("string").alias("__text"), held_out(id_col).alias("__out")
+    ).where(~F.col("__out") & F.col("__lang").isNotNull() & F.col("__text").isNotNull())
+    rows = rows.withColumn("__hash", F.xxhash64("__text"))
+    picked = rows.select(draw("lang-1|", F.col("__id")).alias("__h"), "__id", "__hash", F.octet_length("__text").alias("__bytes"), "__lang")
+    order_by = ["__h", "__id", "__hash"]
+    dealt = Window.partitionBy("__lang", "__part").orderBy(*order_by)
+    picked = picked.withColumn("__part", F.pmod(F.hash("__h"), F.lit(DEALT)))
+    picked = picked.withColumn("__n", F.row_number().over(dealt)).where(F.col("__n") <= rows_per_language)
+    picked = picked.withColumn("__n", F.row_number().over(Window.partitionBy("__lang").orderBy(*order_by))).where(F.col("__n") <= rows_per_language)
     samples: dict[str, list[str]] = {}
-    for row in sorted(sample.collect()):
-        samples.setdefault(row["__lang"], []).append(row["__text"])
-    return train(samples, order, max_contexts) if samples else None
+    for _, text, lang in training_texts(picked.select(*order_by, "__bytes"), rows, train_bytes, "__lang"):
+        samples.setdefault(lang, []).append(text)
+    return train(samples, order, contexts) if samples else None
 
 
 def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
