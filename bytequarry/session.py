@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    is unset (local tests) a temporary folder is made, once per session.
+    is unset and everything runs in one process (tests) a temporary folder is
+    made, once per session; on a cluster without the setting this raises.
     """
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("bytequarry.shared.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="bytequarry-")
         spark.conf.set("bytequarry.shared.dir", base)
     return base.rstrip("/")
@@ -45,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/bytequarry/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/bytequarry/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -69,3 +73,9 @@ def drop_scratch(df: DataFrame) -> None:
         if root in folder:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(hadoop).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes everything that ``materialize`` of this application left in the shared folder, for when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/bytequarry/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
