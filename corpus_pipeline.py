@@ -14,8 +14,11 @@ from bytequarry.session import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
-    found = ppm_langid.predict(docs, ppm_langid.fit(docs))
+    """Documents without a language (no text, or no letter in it) go; if no label is there to learn from, those with a letter stay."""
+    model = ppm_langid.fit(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    found = ppm_langid.predict(docs, model)
     return found.where(F.col("lang_pred") != ppm_langid.UNDETERMINED).select(*docs.columns)
 
 
