@@ -6,7 +6,8 @@ members of different ids nearest to the pivot: these summaries give each query a
 answers must reach, each group of queries the least such score and its radius,
 and each pair of cells the largest product of a query and a data pivot. With
 these bounds a data vector is copied only to the groups where it can still be an
-answer. Each group is solved on its own, in salted parts whose lists are merged.
+answer. Each group is solved on its own; one that many vectors are copied to is
+solved in salted parts whose lists are merged.
 
 A query's own rows are no answers, and there can be many. So a list holds k rows
 of an id at most and 2 * k in all: k or fewer of them are the query's own. Of the
@@ -24,13 +25,14 @@ from pyspark.sql import functions as F
 
 from bytequarry.llm.common import draw, id_text
 from bytequarry.llm.vectors import by_dimension, fewest_of_equal, places
+from bytequarry.session import materialize
 
 K = 5
 SCALE = 256
 #: Bound of the sample that places the pivots, and of the pivots of one vector length.
 SAMPLE_ROWS = 4096
 MAX_PIVOTS = 512
-#: Queries a pivot stands for, and data vectors of one part of a group.
+#: Queries a pivot stands for, and vectors copied to one part of a group.
 QUERIES_PER_PIVOT = 128
 ROWS_PER_PART = 50_000
 _EXACT = float(2**53)
@@ -57,9 +59,12 @@ def _nearest(matrix: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products of rows; exact in doubles where these can't overflow 53 bits."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] < _EXACT:
+    """Integer inner products of rows; exact in doubles where these can't overflow 53 bits, and an error where they could overflow 64."""
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    if most < _EXACT:
         return (a @ b.T).astype(np.int64)
+    if most >= 2.0**63 or max(np.abs(a).max(), np.abs(b).max()) >= 2.0**63:
+        raise OverflowError("inner products of these vectors can leave the range of 64-bit integers")
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -95,13 +100,14 @@ def topk_join(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCA
     empty vectors and those with null or non-finite components take no part.
     Repeated rows of an id answer once for each row, and a repeated query is
     answered once. An empty table gives no rows; other columns are ignored.
+    Scores are 64-bit integers: vectors whose products could be larger are an error.
     """
     spark = vectors.sparkSession
     keep = k + 1
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
 
     queries = rows.where("is_query").select("vec_id", "vector")
-    asked = queries.mapInArrow(_encode(scale), "vec_id long, dim int, vector binary")
+    asked = materialize(queries.mapInArrow(_encode(scale), "vec_id long, dim int, vector binary"), "asked")
     rep = F.sha2("vector", 256).alias("rep")  # not the least id, which several vectors can share
     distinct = asked.select("dim", "vector", rep).distinct()
     # SAMPLE_ROWS vectors at most come to the driver
@@ -110,11 +116,12 @@ def topk_join(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCA
     for batch in [sample.toArrow()] if rows.columns else []:
         for _, matrix in by_dimension(batch["vec_id"], batch["vector"]):
             drawn.setdefault(matrix.shape[1], []).append(quantise(matrix, scale))
-    dims = sorted(r["dim"] for r in distinct.groupBy("dim").count().collect())
+    each = {r["dim"]: r["count"] for r in distinct.groupBy("dim").count().collect()}
+    dims = sorted(each)
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    count = max(4, min(MAX_PIVOTS, -(-distinct.count() // QUERIES_PER_PIVOT)))
-    pivots = {d: _pivots(np.concatenate(drawn[d]), count) if d in drawn else np.zeros((1, d)) for d in dims}
+    count = {d: max(4, min(MAX_PIVOTS, -(-each[d] // QUERIES_PER_PIVOT))) for d in dims}
+    pivots = {d: _pivots(np.concatenate(drawn[d]), count[d]) if d in drawn else np.zeros((1, d)) for d in dims}
     shared = spark.sparkContext.broadcast(pivots)
 
     # Summaries: the members nearest to each pivot, k + 1 a cell, one an id.
@@ -126,17 +133,21 @@ def topk_join(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCA
     for r in marks.collect():  # at most MAX_PIVOTS * (k + 1) vectors a length
         landmarks[r["dim"]].setdefault(r["vec_id"], np.frombuffer(r["vector"], np.float64))
     landmarks = spark.sparkContext.broadcast({d: np.stack(list(v.values())) if v else np.zeros((0, d)) for d, v in landmarks.items()})
-    placed = distinct.mapInArrow(_place(shared, landmarks, keep), "dim int, cell int, rep string, vector binary, least double, radius double, reach array<double>")
+    placed = materialize(distinct.mapInArrow(_place(shared, landmarks, keep), "dim int, cell int, rep string, vector binary, least double, radius double, reach array<double>"), "placed")
     pair_bounds = placed.select("dim", "cell", "least", "radius", F.posexplode("reach").alias("other", "most")).groupBy("dim", "cell", "other")
     bounds: dict[int, dict[int, list]] = {d: {} for d in dims}
     for r in pair_bounds.agg(F.min("least").alias("least"), F.max("radius").alias("radius"), F.max("most").alias("most")).collect():
         bounds[r["dim"]].setdefault(r["cell"], [r["least"], r["radius"], {}])[2][r["other"]] = r["most"]  # pivots squared at most
     limits = spark.sparkContext.broadcast({d: _limits(b, len(pivots[d])) for d, b in bounds.items()})
 
-    parts = max(1, -(-vectors.count() // ROWS_PER_PART))
     copies = rows.select("vec_id", "vector").mapInArrow(_replicate(shared, limits, scale, k), "dim int, cell int, vec_id long, vector binary")
-    copies = copies.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    groups = placed.select("dim", "cell", "rep", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    copies = materialize(copies, "copies")
+    # one row a group that many vectors are copied to
+    large = copies.groupBy("dim", "cell").agg(F.ceil(F.count("*") / ROWS_PER_PART).cast("int").alias("parts")).where("parts > 1")
+    large = F.broadcast(materialize(large, "parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    copies = copies.join(large, ["dim", "cell"], "left").withColumn("part", F.pmod(F.xxhash64("vec_id"), parts).cast("int")).drop("parts")
+    groups = placed.join(large, ["dim", "cell"], "left").select("dim", "cell", "rep", "vector", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
 
     key = ["dim", "cell", "part"]
     local = groups.groupBy(*key).cogroup(copies.groupBy(*key)).applyInArrow(_solve(k), "rep string, vec_id long, score long")
