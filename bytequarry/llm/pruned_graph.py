@@ -132,7 +132,30 @@ def build(points: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alph
             wide[at, degree + place[now] % degree] = source[now]
             links[owners] = robust_prune(points, owners.astype(np.int32), wide, degree, alpha)
         done += len(new)
-    return links, entry
+    return _reachable(points, links, entry), entry
+
+
+def _reachable(points: np.ndarray, links: np.ndarray, entry: int) -> np.ndarray:
+    """The links, wider if need be, so that a walk from the entry can reach every node: one that can't be reached is linked from its nearest node that can."""
+    n = len(points)
+    while True:
+        seen = np.zeros(n + 1, bool)
+        seen[n] = True
+        front = np.array([entry])
+        while len(front):
+            seen[front] = True
+            front = np.unique(links[front])
+            front = front[~seen[front]]  # -1 is the last one, which counts as seen
+        lost = np.flatnonzero(~seen)
+        if not len(lost):
+            return links
+        node, known = lost[0], np.flatnonzero(seen[:n])
+        near = known[((points[known] - points[node]) ** 2).sum(1).argmin()]
+        free = np.flatnonzero(links[near] < 0)
+        if not len(free):
+            links = np.concatenate([links, np.full((n + 1, 1), -1, np.int32)], 1)
+            free = [links.shape[1] - 1]
+        links[near, free[0]] = node
 
 
 def _pack(**arrays) -> bytes:
@@ -170,6 +193,7 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector")).mapInArrow(encode, "vec_id long, dim int, vector binary")
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    rows = rows.repartition(shards, "dim", "shard")  # a shard is much work but few bytes, by which Spark would put several in one task
     index = rows.groupBy("dim", "shard").applyInArrow(grow, "dim int, shard int, rows long, index binary")
     return materialize(index, "graph-index")
 
@@ -179,8 +203,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = SEARCH_
 
     ``score`` is the Euclidean distance in double precision on the original
     vectors. A query's own id is no answer; ties go to the smaller id; all rows
-    of its length are returned if there are fewer than k and the beam reaches
-    them. Queries without a proper vector have no rows; a repeated query id is
+    of its length are returned if there are fewer than k, as the beam is wider
+    than k and every node of a graph can be reached. Queries without a proper vector have no rows; a repeated query id is
     answered once.
     """
     groups = max(1, -(-queries.count() // QUERIES_PER_GROUP))

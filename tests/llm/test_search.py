@@ -102,3 +102,40 @@ def test_graph_of_a_repeated_query(spark):
     assert [r["vec_id"] for r in sorted(out, key=lambda r: r["rank"])] == [i for _, i in want]
     out = pruned_graph.search(pruned_graph.build_index(vectors), frame(spark, [rows[100]])).collect()
     assert len(out) == 10 and all(r["vec_id"] != 100 for r in out)
+
+
+def test_equal_distances_go_to_the_smallest_ids(spark):
+    rows = [(0, [1.0] * 60)] + [(61 - i, [1.0 + (j == i) for j in range(60)]) for i in range(60)] + [(0, [1.0] * 60)] * 13
+    out = pruned_graph.nearest(frame(spark, rows), F.col("vec_id") == 0).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in out) == [(i, i + 1, 1.0) for i in range(1, 11)]
+
+
+def test_recall_over_many_shards(spark):
+    rows = clustered(4400, 32, 5)
+    vectors = frame(spark, rows).repartition(4)
+    index = pruned_graph.build_index(vectors, shard_rows=200)
+    assert index.count() >= 20
+    got = {}
+    for r in pruned_graph.search(index, vectors.where(F.col("vec_id") % 100 == 0)).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = brute_nearest(rows, 100, 10)
+    assert sum(len(got[q] & {i for _, i in found}) for q, found in want.items()) >= 0.99 * 10 * len(want)
+
+
+def test_every_node_can_be_reached():
+    random = np.random.default_rng(4)
+    points = np.concatenate([random.normal(size=(40, 3)) * 1e-3 + 50 * c for c in range(30)]).astype(np.float32)
+    lost = np.full((len(points) + 1, 2), -1, np.int32)
+    for links, entry in (pruned_graph.build(points, degree=3, beam=4), (pruned_graph._reachable(points, lost, 7), 7)):
+        seen, front = {entry}, [entry]
+        while front:
+            front = [x for i in front for x in links[i].tolist() if x >= 0 and x not in seen]
+            seen |= set(front)
+        assert len(seen) == len(points)
+
+
+def test_products_beyond_64_bits_are_an_error():
+    huge = np.array([[2.0**40, 1.0]])
+    assert voronoi_topk._products(huge[:, :1] / 2**10, huge[:, :1] / 2**10)[0, 0] == 2**60
+    with pytest.raises(OverflowError):
+        voronoi_topk._products(huge, huge)
