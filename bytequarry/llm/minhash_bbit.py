@@ -17,6 +17,7 @@ over for any reason but its estimate, its sizes, or being in one group already.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,6 +115,40 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return value, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(texts)))])
 
 
+_WORD_END = re.compile(rb"[\x09-\x0D\x20]")
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """A long text in pieces of about CHUNK bytes, cut between words; each begins with the last words of the one before it, so that no shingle is lost."""
+    start = 0
+    while True:
+        end, words = start, np.empty(0, np.int64)
+        while len(words) < WORDS and end < len(text):  # very long words
+            blank = _WORD_END.search(text, min(end + CHUNK, len(text)))
+            end = blank.start() if blank else len(text)
+            blanks = _BLANK[np.frombuffer(text[start:end], np.uint8)]
+            words = np.flatnonzero(~blanks & np.concatenate([[True], blanks[:-1]]))
+        yield text[start:end]
+        if not text[end:].strip(b"\x09\x0a\x0b\x0c\x0d\x20"):
+            return
+        start += int(words[1 - WORDS])
+
+
+def sets_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``shingle_sets`` gives, in memory of some 60 times CHUNK and the sets; long texts are walked piece by piece."""
+    values, counts = [np.empty(0, _U)], [0]
+    for part in _chunks(texts):
+        if len(texts[part.start]) <= 2 * CHUNK:
+            value, starts = shingle_sets(texts[part])
+            values.append(value)
+            counts += np.diff(starts).tolist()
+        else:
+            found = np.unique(np.concatenate([shingle_sets([piece])[0] for piece in _pieces(texts[part.start])]))
+            values.append(found)
+            counts.append(len(found))
+    return np.concatenate(values), np.cumsum(counts)
+
+
 def signatures(value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(keys, packed, bands) of the sets that are not empty: 128-bit set keys, packed low bits, band keys."""
     live = np.flatnonzero(np.diff(starts))
@@ -150,7 +185,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         texts = [t or b"" for t in batch.column("__text").cast(pa.binary()).to_pylist()]
         for part in _chunks(texts):
-            value, starts = shingle_sets(texts[part])
+            value, starts = sets_of(texts[part])
             counts = np.diff(starts)
             keys, packed, bands = signatures(value, starts)
             empty = counts == 0
@@ -204,7 +239,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[bytes, np.ndarray] = {}
         names, data = list(texts), list(texts.values())
         for part in _chunks(data):
-            value, starts = shingle_sets(data[part])
+            value, starts = sets_of(data[part])
             for i, key in enumerate(names[part]):
                 sets[key] = value[starts[i] : starts[i + 1]]
         linked = []
@@ -266,7 +301,7 @@ def _confirm_across(table: pa.Table) -> pa.Table:
     texts = table.column("text").cast(pa.binary()).to_pylist()
     sets: list[np.ndarray] = []
     for part in _chunks(texts):
-        value, starts = shingle_sets(texts[part])
+        value, starts = sets_of(texts[part])
         sets += [value[starts[i] : starts[i + 1]] for i in range(len(starts) - 1)]
     out = []
     for _, i, j in sorted(_passing(table), key=lambda p: (-p[0], keys[p[1]], keys[p[2]])):
@@ -291,8 +326,11 @@ def _links_across(members: DataFrame, classes: DataFrame, labels: DataFrame, tex
     rows = rows.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("band", "key", "root", "n", "packed", "bands", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    # A block is much work for its bytes, by which Spark would put many in one task.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, "band", "lo", "hi")
     open_ = materialize(rows.groupBy("band", "lo", "hi").applyInArrow(_open_members, rows.schema), "open")
-    full = open_.join(texts, "key")
+    full = open_.join(texts, "key").repartition(tasks, "band", "lo", "hi")
     return materialize(full.groupBy("band", "lo", "hi").applyInArrow(_confirm_across, "a binary, b binary"), "links")
 
 

@@ -239,6 +239,19 @@ def _lanes(monkeypatch, model):
     assert abs(alone - whole).max() < 1e-3
 
 
+def test_long_texts_are_walked_in_pieces(monkeypatch):
+    rnd = random.Random(5)
+    for _ in range(60):
+        sizes = [rnd.choice([0, 1, 3, 4, 5, 6, 40, 400]) for _ in range(rnd.randint(0, 4))]
+        word = lambda: (b"W%d" % rnd.randint(0, 60)) * rnd.choice([1, 1, 1, 9]) + rnd.choice([b" ", b"\n\n", b"\t"])
+        texts = [rnd.choice([b"", b"  "]) + b"".join(word() for _ in range(n)) for n in sizes]
+        whole = minhash_bbit.shingle_sets(texts)
+        for chunk in (7, 50, 333):
+            monkeypatch.setattr(minhash_bbit, "CHUNK", chunk)
+            got = minhash_bbit.sets_of(texts)
+            assert got[0].tolist() == whole[0].tolist() and got[1].tolist() == whole[1].tolist()
+
+
 def test_training_samples_are_bounded(spark):
     rows = [(None, f"call +1 555 771 {i:04d} now, number {i}") for i in range(300)] + [(None, None), (1, "9" * 5000)] + [(2, "mail a@b.cd")] * 50
     docs = frame(spark, rows)
