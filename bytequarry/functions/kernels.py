@@ -8,16 +8,21 @@ null; every kernel is a function of its blob alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.pandas.types import from_arrow_type
 
+from bytequarry.functions import ladders
+
 #: n-gram counts read so many bytes at most.
 NGRAM_BYTES = 256 * 1024
-
+#: Windows of a blob that are counted at a time (2 KiB each).
+WINDOWS = 8192
 
 SPAN = pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("entropy", pa.float64()), ("chi_square", pa.float64()), ("mean", pa.float64())])
 SPANS = pa.list_(SPAN)
@@ -112,20 +117,44 @@ def run_count(blobs: pa.Array) -> pa.Array:
     return each(blobs, lambda v: int((v[1:] != v[:-1]).sum()) + 1 if len(v) else 0, pa.int64())
 
 
-def _windows(v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[dict]:
-    """Offset, length, entropy, chi-square and mean of spans of one blob."""
-    out = []
-    for a, b in zip(starts.tolist(), ends.tolist()):
-        counts = histogram_of(v[a:b])
-        out.append(_span(a, b - a, counts))
-    return out
+def _facts(starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Offset, length, entropy, chi-square and mean of spans by their histograms; empty spans have zeros."""
+    counts, n = counts.astype(np.float64), np.maximum(lengths, 1)
+    chi = np.where(lengths > 0, 256 / n * (counts * counts).sum(1) - lengths, 0.0)
+    return starts, lengths, entropy_of(counts), chi, counts @ np.arange(256.0) / n
+
+
+def _no_facts() -> tuple[np.ndarray, ...]:
+    return np.empty(0, np.int64), np.empty(0, np.int64), *(np.empty(0) for _ in range(3))
 
 
-def _span(offset: int, length: int, counts: np.ndarray) -> dict:
-    expected = length / 256
-    chi = float(((counts - expected) ** 2 / expected).sum()) if length else 0.0
-    mean = float((counts * np.arange(256)).sum() / length) if length else 0.0
-    return {"offset": offset, "length": length, "entropy": float(entropy_of(counts)), "chi_square": chi, "mean": mean}
+def span_lists(blobs: pa.Array, cut: Callable[[np.ndarray], list[tuple[np.ndarray, ...]]]) -> pa.Array:
+    """One list of spans a blob; ``cut`` gives a blob's facts in parts."""
+    parts, sizes, null = [_no_facts()], [0], []
+    for v in views(blobs):
+        found = [] if v is None else cut(v)
+        parts += found
+        sizes.append(sum(len(p[0]) for p in found))
+        null.append(v is None)
+    columns = [pa.array(np.concatenate(c), t) for c, t in zip(zip(*parts), (f.type for f in SPAN))]
+    spans = pa.StructArray.from_arrays(columns, fields=list(SPAN))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), spans, mask=pa.array(null, pa.bool_()))
+
+
+def _blocks(v: np.ndarray, width: int) -> np.ndarray:
+    """Histograms of blocks of ``width`` bytes side by side, the last one maybe shorter."""
+    count = -(-len(v) // width)
+    key = np.repeat(np.arange(0, 256 * count, 256), width)[: len(v)] + v
+    return np.bincount(key, minlength=256 * count).reshape(count, 256)
+
+
+def _tumbling(v: np.ndarray, window: int, keep_tail: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, lengths and histograms of adjacent windows, some at a time."""
+    size = len(v) if keep_tail else len(v) // window * window
+    for at in range(0, size, WINDOWS * window):
+        part = v[at : min(size, at + WINDOWS * window)]
+        starts = at + np.arange(0, len(part), window)
+        yield starts, np.minimum(window, size - starts), _blocks(part, window)
 
 
 def tumbling(window: int, keep_tail: bool = True):
@@ -133,44 +162,154 @@ def tumbling(window: int, keep_tail: bool = True):
 
     @kernel(SPANS)
     def spans(blobs: pa.Array) -> pa.Array:
-        def cut(v):
-            starts = np.arange(0, len(v) if keep_tail else len(v) - window + 1, window)
-            return _windows(v, starts, np.minimum(starts + window, len(v)))
-
-        return each(blobs, cut, SPANS)
+        return span_lists(blobs, lambda v: [_facts(*x) for x in _tumbling(v, window, keep_tail)])
 
     return spans
 
 
+def _sliding(v: np.ndarray, window: int, step: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, lengths and histograms of full windows: sums of blocks that all windows are made of."""
+    if len(v) <= window:
+        if len(v):
+            yield np.array([0]), np.array([len(v)]), _blocks(v, len(v))
+        return
+    unit, total = math.gcd(window, step), (len(v) - window) // step + 1
+    many = max(1, (4 * WINDOWS - window // unit) * unit // step)  # windows whose blocks are held at a time
+    for first in range(0, total, many):
+        starts = np.arange(first, min(total, first + many)) * step
+        blocks = _blocks(v[starts[0] : starts[-1] + window], unit)
+        upto = np.concatenate([np.zeros((1, 256), np.int64), np.cumsum(blocks, 0)])
+        at = (starts - starts[0]) // unit
+        yield starts, np.full(len(starts), window), upto[at + window // unit] - upto[at]
+
+
 def sliding(window: int, step: int):
     """A column function: full spans of ``window`` bytes every ``step``; a blob no longer than one has one."""
 
+    @kernel(SPANS)
+    def spans(blobs: pa.Array) -> pa.Array:
+        return span_lists(blobs, lambda v: [_facts(*x) for x in _sliding(v, window, step)])
+
+    return spans
+
+
+def _merged(v: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(start, length, histogram) of the runs of adjacent windows of one region class."""
+    cuts = np.array([cut for cut, _ in ladders.REGION[0]])
+    held = None
+    for starts, lengths, counts in _tumbling(v, window):
+        kind = np.searchsorted(cuts, np.round(entropy_of(counts), 6), "right")
+        new = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
+        for c, start, length, histogram in zip(kind[new].tolist(), starts[new].tolist(), np.add.reduceat(lengths, new).tolist(), np.add.reduceat(counts, new, axis=0)):
+            if held and held[0] == c:
+                held = c, held[1], held[2] + length, held[3] + histogram
+            else:
+                if held:
+                    yield held[1:]
+                held = c, start, length, histogram
+    if held:
+        yield held[1:]
+
+
+def merged_regions(window: int):
+    """A column function: adjacent windows of one region class as one span, with the facts of its own bytes."""
+
     @kernel(SPANS)
     def spans(blobs: pa.Array) -> pa.Array:
         def cut(v):
-            if not len(v):
-                return []
-            if len(v) <= window:
-                return _windows(v, np.array([0]), np.array([len(v)]))
-            starts = np.arange(0, len(v) - window + 1, step)
-            return _windows(v, starts, starts + window)
+            runs = list(_merged(v, window))
+            return [_facts(np.array([r[0] for r in part]), np.array([r[1] for r in part]), np.stack([r[2] for r in part])) for part in (runs[i : i + WINDOWS] for i in range(0, len(runs), WINDOWS))]
 
-        return each(blobs, cut, SPANS)
+        return span_lists(blobs, cut)
 
     return spans
 
 
+def deltas(distance: int):
+    """A column function: each byte less the one ``distance`` before it (0 before the start), modulo 256."""
+
+    @kernel(pa.list_(pa.int32()))
+    def values(blobs: pa.Array) -> pa.Array:
+        def one(v):
+            v = v.astype(np.int32)
+            return (v - np.concatenate([np.zeros(distance, np.int32), v])[: len(v)]) % 256
+
+        return each(blobs, one, pa.list_(pa.int32()))
+
+    return values
+
+
+PLACES = pa.list_(pa.struct([("offset", pa.int64()), ("which", pa.int32())]))
+MATCHES = pa.list_(pa.struct([("offset", pa.int64()), ("value", pa.string())]))
+
+
+def _lists(sizes: list[int], null: list[bool], names: Sequence[str], columns: list[pa.Array]) -> pa.Array:
+    values = pa.StructArray.from_arrays(columns, list(names))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values, mask=pa.array(null, pa.bool_()))
+
+
+def word_places(words: Sequence[bytes]):
+    """A column function: offset and number of the word of each place of each of the words, those of one word not overlapping."""
+
+    @kernel(PLACES)
+    def places(blobs: pa.Array) -> pa.Array:
+        patterns = [re.compile(re.escape(w)) for w in words]
+        offsets, which, sizes, null = [], [], [], []
+        for blob in blobs:
+            data, before = blob.as_py(), len(offsets)
+            for i, pattern in enumerate(patterns):
+                found = [m.start() for m in pattern.finditer(data or b"")]
+                offsets += found
+                which += [i] * len(found)
+            sizes.append(len(offsets) - before)
+            null.append(data is None)
+        return _lists(sizes, null, ("offset", "which"), [pa.array(offsets, pa.int64()), pa.array(which, pa.int32())])
+
+    return places
+
+
+def pattern_matches(pattern: str):
+    """A column function: offset and bytes (as Latin-1 characters) of the matches of a regular expression over the bytes, from left to right."""
+
+    @kernel(MATCHES)
+    def matches(blobs: pa.Array) -> pa.Array:
+        compiled = re.compile(pattern.encode("latin-1"))
+        offsets, values, sizes, null = [], [], [], []
+        for blob in blobs:
+            data, before = blob.as_py(), len(offsets)
+            for m in compiled.finditer(data or b""):
+                offsets.append(m.start())
+                values.append(m[0].decode("latin-1"))
+            sizes.append(len(offsets) - before)
+            null.append(data is None)
+        return _lists(sizes, null, ("offset", "value"), [pa.array(offsets, pa.int64()), pa.array(values, pa.string())])
+
+    return matches
+
+
+def _windows(v: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Facts of any spans of one blob."""
+    out = []
+    for i in range(0, len(starts), WINDOWS):
+        part = slice(i, i + WINDOWS)
+        out.append(_facts(starts[part], ends[part] - starts[part], np.stack([histogram_of(v[a:b]) for a, b in zip(starts[part], ends[part])])))
+    return out
+
+
 @kernel(SPANS)
 def spans_of(blobs: pa.Array, offsets: pa.Array, lengths: pa.Array) -> pa.Array:
-    """The same facts for stated spans of each blob."""
-    out = []
-    for v, starts, sizes in zip(views(blobs), offsets.to_pylist(), lengths.to_pylist()):
-        if v is None or starts is None or sizes is None:
-            out.append(None)
-        else:
-            a = np.array(starts, np.int64)
-            out.append(_windows(v, a, a + np.array(sizes, np.int64)))
-    return pa.array(out, SPANS)
+    """The same facts for stated spans of each blob; null spans have none."""
+    stated = iter(zip(offsets.to_pylist(), lengths.to_pylist()))
+
+    def cut(v):
+        starts, sizes = next(stated)
+        a = np.array(starts or [], np.int64)
+        return _windows(v, a, a + np.array(sizes or [], np.int64))
+
+    known = blobs.is_valid()
+    if not all(known.to_pylist()):
+        stated = iter([x for x, k in zip(stated, known.to_pylist()) if k])
+    return span_lists(blobs, cut)
 
 
 @kernel(TILES)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bytequarry.functions import kernels
+
 #: Characters of rising entropy.
 RAMP = " .:-=+*#%@"
 
@@ -16,18 +18,8 @@ def latin1(data: str) -> Column:
 
 def pattern_hits(blobs: DataFrame, pattern: str, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
     """id, offset, value: matches of a regular expression over the bytes, from left to right."""
-    rows = blobs.select(id_col, latin1(data_col).alias("t"))
-    found, gaps = F.regexp_extract_all("t", F.lit(f"({pattern})"), F.lit(1)), F.split("t", pattern, -1)
-    rows = rows.select(id_col, found.alias("v"), F.transform(gaps, F.length).alias("g")).where(F.size("v") > 0)
-    steps = F.zip_with(F.slice("g", 1, F.size("v")), "v", lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    start = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("end"), F.lit("").alias("v")))
-    placed = F.aggregate(
-        steps,
-        start,
-        lambda a, s: F.concat(a, F.array(F.struct((F.element_at(a, -1)["end"] + s["g"]).alias("at"), (F.element_at(a, -1)["end"] + s["g"] + F.length(s["v"])).alias("end"), s["v"].alias("v")))),
-    )
-    rows = rows.select(id_col, F.explode(F.slice(placed, 2, F.size("v"))).alias("x"))
-    return rows.select(id_col, F.col("x.at").cast("long").alias("offset"), F.col("x.v").alias("value"))
+    rows = blobs.select(id_col, F.explode(kernels.pattern_matches(pattern)(data_col)).alias("x"))
+    return rows.select(id_col, "x.offset", "x.value")
 
 
 def format_size(n: Column) -> Column:

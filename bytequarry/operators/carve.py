@@ -1,4 +1,8 @@
-"""Carving: payloads of known formats inside blobs, with their lengths."""
+"""Carving: payloads of known formats inside blobs, with their lengths.
+
+A blob is scanned, probed and thinned out by one kernel where it lies: bytes are
+neither copied for each hit nor shuffled.
+"""
 
 from __future__ import annotations
 
@@ -6,81 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.functions import kernels
-from bytequarry.operators import detect, intervals
-
-#: Confidence of a payload whose length is only the distance to the next hit, and of one cut off by the blob's end.
-NEXT_HIT, CUT_OFF = 0.7, 0.8
-
-
-def _png(d: bytes) -> int | None:
-    at = d.find(b"IEND")
-    return at + 8 if at >= 0 else None
-
-
-def _zip(d: bytes) -> int | None:
-    at = d.find(b"PK\x05\x06")
-    return at + 22 + int.from_bytes(d[at + 20 : at + 22], "little") if at >= 0 else None
-
-
-def _jpeg(d: bytes) -> int | None:
-    at = d.find(b"\xff\xd9")
-    return at + 2 if at >= 0 else None
-
-
-def _gif(d: bytes) -> int | None:
-    """Blocks up to the trailer."""
-    if len(d) < 13:
-        return None
-    skip = lambda flags: 3 << (flags & 7) + 1 if flags & 0x80 else 0
-    at = 13 + skip(d[10])
-    while at < len(d):
-        kind = d[at]
-        if kind == 0x3B:
-            return at + 1
-        if kind == 0x2C and at + 9 < len(d):
-            at += 11 + skip(d[at + 9])
-        elif kind == 0x21:
-            at += 2
-        else:
-            return None
-        while at < len(d) and d[at]:
-            at += 1 + d[at]
-        at += 1
-    return None
-
-
-def _pdf(d: bytes) -> int | None:
-    at = d.rfind(b"%%EOF")
-    return at + 5 if at >= 0 else None
-
-
-def _tar(d: bytes) -> int | None:
-    at = 0
-    while at + 512 <= len(d):
-        if not any(d[at : at + 512]):
-            return min(len(d), at + 1024)
-        size = d[at + 124 : at + 135].strip(b" \0")
-        if not size or any(c not in b"01234567" for c in size):
-            return None
-        at += 512 + -(-int(size, 8) // 512) * 512
-    return None
-
-
-_little = lambda at, extra: lambda d: int.from_bytes(d[at : at + 4], "little") + extra if len(d) >= at + 4 else None
-PROBES = {"Png": _png, "Zip": _zip, "Jpeg": _jpeg, "Gif": _gif, "Pdf": _pdf, "Tar": _tar, "Bmp": _little(2, 0), "Riff": _little(4, 8)}
-
-
-def payload_length(data: bytes, form: str) -> int | None:
-    """Length of a payload that starts the bytes, by the format's own marks; None if they do not tell."""
-    probe = PROBES.get(form)
-    found = probe(data) if probe else None
-    return found if found is not None and found > 0 else None
+from bytequarry.functions import kernels, scan
+from bytequarry.operators import detect
 
 
 @kernels.kernel(pa.int64())
 def probed_length(data: pa.Array, formats: pa.Array) -> pa.Array:
-    return pa.array([None if d is None or f is None else payload_length(d, f) for d, f in zip(data.to_pylist(), formats.to_pylist())], pa.int64())
+    """Length of the payload that starts each blob, by the format's own marks."""
+    return pa.array([None if d.as_py() is None or f is None else scan.payload_length(d.as_py(), f) for d, f in zip(data, formats.to_pylist())], pa.int64())
+
+
+_CARVED = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("format", pa.string()), ("confidence", pa.float64())]))
 
 
 def carve(blobs: DataFrame, signatures: DataFrame, least_confidence: float = 0.5, min_bytes: int = 128, max_bytes: int = 512_000_000, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
@@ -89,14 +29,16 @@ def carve(blobs: DataFrame, signatures: DataFrame, least_confidence: float = 0.5
     A length comes from the format's own marks, or is the distance to the next
     hit of any format (confidence times 0.7); one that runs past the blob is cut
     (times 0.8). Payloads outside the size bounds, and those within another, are
-    dropped.
+    dropped. Null and empty blobs have none.
     """
-    rows = blobs.select(id_col, F.col(data_col).alias("data"), F.octet_length(data_col).cast("long").alias("size"))
-    hits = detect.deep_scan(rows, signatures, None, id_col).join(rows, id_col)
-    hits = intervals.asof_next(hits, "size", id_col).where(F.col("confidence") >= least_confidence)
-    hits = hits.withColumn("probed", probed_length(F.expr("substring(data, cast(offset as int) + 1)"), "format"))
-    room = F.col("size") - F.col("offset")
-    factor = F.when(F.col("probed").isNull(), NEXT_HIT).when(F.col("probed") > room, CUT_OFF).otherwise(1.0)
-    hits = hits.withColumn("length", F.least(F.coalesce("probed", "length"), room)).withColumn("confidence", F.col("confidence") * factor)
-    found = intervals.within_size(hits, min_bytes, max_bytes).select(id_col, "offset", "length", "format", "confidence")
-    return intervals.outermost(found, "format", id_col=id_col)
+    table = detect.signature_list(signatures)
+
+    @kernels.kernel(_CARVED)
+    def carved(blobs: pa.Array) -> pa.Array:
+        names = ("offset", "length", "format", "confidence")
+        found = [[] if b.as_py() is None else scan.carve(b.as_py(), table, least_confidence, min_bytes, max_bytes) for b in blobs]
+        rows = [r for f in found for r in f]
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.int64(), pa.int64(), pa.string(), pa.float64()))]
+        return kernels._lists([len(f) for f in found], [False] * len(found), names, columns)
+
+    return blobs.select(id_col, F.explode(carved(data_col)).alias("c")).select(id_col, "c.*")

@@ -5,9 +5,12 @@ The table is a fixed list, so it is broadcast; blobs are never shuffled for it.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bytequarry.functions import kernels, scan
+
 #: Bytes of a blob that header detection looks at, and bytes that near matches look at.
 HEADER_BYTES = 4096
 FUZZY_BYTES = 1024
@@ -69,25 +72,38 @@ def fuzzy_headers(blobs: DataFrame, signatures: DataFrame, id_col: str = "blob_i
     return rows.select(id_col, "format", "reg_order", "same", (F.col("confidence") * F.col("same") / F.col("m") * 0.7).alias("confidence"))
 
 
+def signature_list(signatures: DataFrame) -> list[scan.Signature]:
+    """The signatures on the driver: a fixed table of some hundred rows, which a kernel takes along."""
+    rows = signatures.orderBy("reg_order").collect()
+    mask = "mask" in signatures.columns
+    return [scan.Signature(r["format"], bytes(r["magic"]), r["offset"], r["confidence"], bytes(r["mask"]) if mask and r["mask"] is not None else None) for r in rows]
+
+
+_HITS = pa.list_(pa.struct([("format", pa.string()), ("offset", pa.int64()), ("confidence", pa.float64()), ("preview", pa.string())]))
+
+
 def deep_scan(blobs: DataFrame, signatures: DataFrame, max_hits: int | None = None, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
     """id, format, offset, confidence, preview: every place of every magic, as the offset where the blob of that format would start.
 
     A place before the magic's own offset would start before the blob and is no
-    hit. Places come from one native search a signature over the Latin-1 view of
-    the bytes; hits of one format at one offset count once, by confidence.
+    hit. Hits of one format at one offset count once, by confidence. With
+    ``max_hits`` the most confident of a blob are kept, then by offset and format.
+    One kernel does all of this for a blob, so nothing is shuffled.
     """
-    rows = blobs.select(id_col, F.col(data_col).alias("data"), F.decode(data_col, "ISO-8859-1").alias("text"))
-    sig = F.broadcast(signatures.select("format", "offset", "confidence", "reg_order", F.decode("magic", "ISO-8859-1").alias("m")))
-    pairs = rows.join(sig, F.expr("contains(text, m)"))
-    # Overlapping places too: each piece between cuts gives one, found again from the place after it.
-    places = F.expr(
-        "filter(aggregate(sequence(1, cast((length(text) - length(replace(text, m, ''))) / length(m) as int) + 1), array(0), (a, i) -> "
-        "case when element_at(a, -1) < 0 then a else concat(a, array(case when locate(m, text, element_at(a, -1) + 1) = 0 then -1 else locate(m, text, element_at(a, -1) + 1) end)) end), p -> p > 0)"
-    )
-    hits = pairs.withColumn("p", F.explode(places)).select(id_col, "format", (F.col("p") - 1 - F.col("offset")).alias("offset"), "confidence", "data")
-    hits = hits.where("offset >= 0")
-    hits = hits.groupBy(id_col, "format", "offset").agg(F.max("confidence").alias("confidence"), F.first(F.expr("hex(substring(data, offset + 1, 16))")).alias("preview"))
-    if max_hits is not None:
-        rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("confidence"), "offset", "format"))
-        hits = hits.withColumn("__r", rank).where(F.col("__r") <= max_hits).drop("__r")
-    return hits
+    table = signature_list(signatures)
+
+    @kernels.kernel(_HITS)
+    def scanned(blobs: pa.Array) -> pa.Array:
+        rows, sizes, null = [], [], []
+        for blob in blobs:
+            data = blob.as_py()
+            found = scan.hits(data, table) if data else []
+            if max_hits is not None:
+                found = sorted(found, key=lambda h: (-h[2], h[0], h[1]))[:max_hits]
+            rows += [(form, offset, confidence, data[offset : offset + 16].hex().upper()) for offset, form, confidence in found]
+            sizes.append(len(found))
+            null.append(data is None)
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((), (), (), ()), (pa.string(), pa.int64(), pa.float64(), pa.string()))]
+        return kernels._lists(sizes, null, ("format", "offset", "confidence", "preview"), columns)
+
+    return blobs.select(id_col, F.explode(scanned(data_col)).alias("h")).select(id_col, "h.*")

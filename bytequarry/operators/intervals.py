@@ -10,8 +10,10 @@ def asof_next(hits: DataFrame, size_col: str = "size", id_col: str = "blob_id")
     """Adds ``length``: to the next strictly greater offset of the blob, else to its end.
 
     Hits at one offset all get the same length, which lead() would not give them.
+    Offsets run backwards, so that the frame grows: Spark sums up one that shrinks
+    anew for every row.
     """
-    ahead = Window.partitionBy(id_col).orderBy("offset").rangeBetween(1, Window.unboundedFollowing)
+    ahead = Window.partitionBy(id_col).orderBy(F.desc("offset")).rangeBetween(Window.unboundedPreceding, -1)
     return hits.withColumn("length", F.coalesce(F.min("offset").over(ahead), F.col(size_col)) - F.col("offset"))
 
 

@@ -46,13 +46,20 @@ def _chi(a: np.ndarray, b: np.ndarray) -> float:
 def _sharpen(v: np.ndarray, rough: int) -> int:
     """The place within 128 bytes where the entropies of the 64 bytes before and after differ most."""
     best, where = 0.0, rough
-    for at in range(max(0, rough - 128), min(len(v), rough + 128) - 64):
-        left, right = v[max(0, at - 64) : at], v[at : at + 64]
-        if len(left) >= 16 and len(right) >= 16:
-            slope = abs(float(kernels.entropy_of(kernels.histogram_of(right))) - float(kernels.entropy_of(kernels.histogram_of(left))))
-            if slope > best:
-                best, where = slope, at
-    return where
+    places = np.arange(max(16, rough - 128), min(len(v), rough + 128) - 64)
+    if not len(places):
+        return where
+    low = max(0, int(places[0]) - 64)
+    part = v[low : int(places[-1]) + 64]
+    upto = np.zeros((len(part) + 1, 256), np.int32)
+    upto[np.arange(1, len(part) + 1), part] = 1
+    np.cumsum(upto, 0, out=upto)
+    at = places - low
+    left = kernels.entropy_of(upto[at] - upto[np.maximum(at - 64, 0)])
+    right = kernels.entropy_of(upto[at + 64] - upto[at])
+    slopes = np.abs(right - left)
+    top = int(slopes.argmax())
+    return int(places[top]) if slopes[top] > best else where
 
 
 def boundaries_of(v: np.ndarray) -> list[int]:
@@ -89,7 +96,7 @@ def boundary_regions(blobs: pa.Array) -> pa.Array:
         edges = np.array(boundaries_of(v) if len(v) >= SMALL_BYTES else [0, len(v)])
         return kernels._windows(v, edges[:-1], edges[1:])
 
-    return kernels.each(blobs, cut, kernels.SPANS)
+    return kernels.span_lists(blobs, cut)
 
 
 def boundaries(blobs: DataFrame, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
@@ -98,32 +105,93 @@ def boundaries(blobs: DataFrame, id_col: str = "blob_id", data_col: str = "data"
 
 
 def cusum_peak(samples: DataFrame, value: str = "entropy", id_col: str = "blob_id") -> DataFrame:
-    """id, offset, peak: where the running sum of deviations from the blob's mean is largest in size (to six places), first among equals."""
-    run = Window.partitionBy(id_col).orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
-    rows = samples.withColumn("__mean", F.avg(value).over(Window.partitionBy(id_col)))
-    rows = rows.withColumn("__walk", F.round(F.abs(F.sum(F.col(value) - F.col("__mean")).over(run)) + 2.3e-8, 6))
-    rows = rows.groupBy(id_col).agg(F.max(F.struct("__walk", (-F.col("offset")).alias("o"))).alias("b"))
-    return rows.select(id_col, (-F.col("b.o")).alias("offset"), F.col("b.__walk").alias("peak"))
+    """id, offset, peak: where the running sum of deviations from the blob's mean is largest in size, first among equals.
+
+    Values count in millionths. Sums are of whole numbers (n times the running
+    sum less k times the total), so ties are ties whatever the order of addition.
+    """
+    whole = Window.partitionBy(id_col)
+    run = whole.orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
+    rows = samples.withColumn("__v", F.round(F.col(value) * 1_000_000).cast("decimal(20,0)"))
+    walk = F.abs(F.sum("__v").over(run) * F.count("*").over(whole) - F.sum("__v").over(whole) * F.count("*").over(run))
+    rows = rows.withColumn("__walk", walk.cast("decimal(38,0)")).withColumn("__n", F.count("*").over(whole))
+    rows = rows.groupBy(id_col).agg(F.max(F.struct("__walk", (-F.col("offset")).alias("o"), "__n")).alias("b"))
+    return rows.select(id_col, (-F.col("b.o")).alias("offset"), (F.col("b.__walk").cast("double") / F.col("b.__n") / 1e6).alias("peak"))
+
+
+def _repeats(v: np.ndarray, lengths: tuple[int, int], least: int, top: int) -> list[dict]:
+    """Repeated byte strings of one blob, by number of places, then longer ones first, then by bytes."""
+    v = np.ascontiguousarray(v)
+    rank = v.astype(np.int64)  # of the string of each place, among those of its length
+    found: list[tuple[int, int, bytes]] = []
+    for length in range(2, min(lengths[1], len(v) // least) + 1):
+        pair = rank[:-1] << 8 | v[length - 1 :]  # the string's rank and its next byte
+        _, first, rank, count = np.unique(pair, return_index=True, return_inverse=True, return_counts=True)
+        if not (count >= least).any():
+            break  # nor does any longer string
+        if length >= lengths[0]:
+            for at, n in zip(first[count >= least].tolist(), count[count >= least].tolist()):
+                pattern = v[at : at + length].tobytes()
+                if pattern.count(pattern[0]) < length:
+                    found.append((-n, -length, pattern))
+    kept: list[bytes] = []
+    out = []
+    for n, length, pattern in sorted(found):
+        if not any(len(k) > -length and pattern in k for k in kept):
+            kept.append(pattern)
+            out.append({"pattern": pattern.hex().upper(), "n": -n})
+            if len(out) == top:
+                break
+    return out
 
 
-def repeated_patterns(blobs: DataFrame, length: int = 8, least: int = 3, top: int = 100, limit: int = 256 * 1024, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
-    """id, pattern (hex), n: byte strings of ``length`` that occur at least ``least`` times in the first ``limit`` bytes, not all of one byte."""
+def repeated_patterns(blobs: DataFrame, lengths: tuple[int, int] = (4, 64), least: int = 3, top: int = 100, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
+    """id, pattern (hex), n: byte strings of these lengths that occur at least ``least`` times (places may overlap).
+
+    Whole blobs count. Strings of one byte value, and those within a longer one
+    that comes before them (more places first, then longer), are left out; the
+    first ``top`` of a blob are reported.
+    """
     kind = pa.list_(pa.struct([("pattern", pa.string()), ("n", pa.int64())]))
 
+    @kernels.kernel(kind)
+    def count(blobs: pa.Array) -> pa.Array:
+        return kernels.each(blobs, lambda v: _repeats(v, lengths, least, top), kind)
+
+    return blobs.select(id_col, F.explode(count(data_col)).alias("x")).select(id_col, "x.pattern", "x.n")
+
+
+# Alignments that are looked for, and those that get a bonus.
+ALIGNMENTS, COMMON_ALIGNMENTS, ALIGNMENT_BONUS = (4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096), (4, 8, 16, 512, 4096), 0.05
+
+
+def alignment(blobs: DataFrame, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
+    """id, alignment, confidence, padded, total: multiples of an alignment that zero bytes lead up to.
+
+    A boundary is padded if one of the four bytes before it is zero and its own is
+    not, or if two of them are. Alignments with two padded boundaries and more
+    than a twentieth of all count. Whole blobs of 16 bytes or more are read.
+    """
+    kind = pa.list_(pa.struct([("alignment", pa.int32()), ("padded", pa.int64()), ("total", pa.int64())]))
+
     @kernels.kernel(kind)
     def count(blobs: pa.Array) -> pa.Array:
         def one(v):
-            v = np.ascontiguousarray(v[:limit])
-            if len(v) < length:
-                return []
-            grams, n = np.unique(np.lib.stride_tricks.sliding_window_view(v, length), axis=0, return_counts=True)
-            keep = (n >= least) & (grams != grams[:, :1]).any(1)
-            items = sorted(zip((-n[keep]).tolist(), (g.tobytes().hex().upper() for g in grams[keep])))[:top]
-            return [{"pattern": p, "n": -m} for m, p in items]
+            zero = np.concatenate([np.zeros(4, np.int8), v == 0])
+            before = zero[3:-1] + zero[2:-2] + zero[1:-3] + zero[:-4] if len(v) >= 16 else np.empty(0, np.int8)
+            out = []
+            for step in ALIGNMENTS:
+                near, own = before[step::step], v[step::step]
+                if len(near):
+                    out.append({"alignment": step, "padded": int((((near >= 1) & (own != 0)) | (near >= 2)).sum()), "total": len(near)})
+            return out
 
         return kernels.each(blobs, one, kind)
 
-    return blobs.select(id_col, F.explode(count(data_col)).alias("x")).select(id_col, "x.pattern", "x.n")
+    rows = blobs.select(id_col, F.explode(count(data_col)).alias("x")).select(id_col, "x.*")
+    share = F.col("padded") / F.col("total")
+    bonus = F.when(F.col("alignment").isin(*COMMON_ALIGNMENTS), ALIGNMENT_BONUS).otherwise(0.0)
+    return rows.where((F.col("padded") >= 2) & (share > 0.05)).withColumn("confidence", F.least(F.lit(1.0), share + bonus))
 
 
 def field_length(blobs: DataFrame, lags: tuple[int, int] = (4, 4096), least: float = 0.02, top: int = 50, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:

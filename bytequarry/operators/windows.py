@@ -49,12 +49,7 @@ def islands(rows: DataFrame, label: str, id_col: str = "blob_id") -> DataFrame:
 
 def region_merge(blobs: DataFrame, window: int = 256, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
     """Adjacent windows of one class become a region, whose facts are those of its own bytes."""
-    runs = islands(entropy_tumbling(blobs, window, id_col, data_col), "class", id_col)
-    regions = runs.groupBy(id_col, "island").agg(F.min("offset").alias("offset"), F.sum("length").alias("length"))
-    packed = regions.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("r"))
-    whole = blobs.select(id_col, F.col(data_col).alias("__data")).join(packed, id_col)
-    facts = kernels.spans_of("__data", "r.offset", "r.length")
-    rows = span_rows(whole, facts, id_col)
+    rows = span_rows(blobs, kernels.merged_regions(max(16, window))(data_col), id_col)
     return rows.withColumn("class", ladders.classify_region(F.round("entropy", 6)))
 
 
@@ -87,7 +82,7 @@ def block_map(spans: DataFrame, block: int, id_col: str = "blob_id") -> DataFram
     return rows.select(id_col, "block", "depth", F.array_join("s.format", "/").alias("owners"))
 
 
-def delta(values: DataFrame, column: str, distance: int, id_col: str, order_col: str) -> DataFrame:
-    """Adds ``delta``: each byte less the one ``distance`` before it (0 before the start), modulo 256."""
-    order = Window.partitionBy(id_col).orderBy(order_col)
-    return values.withColumn("delta", F.pmod(F.col(column) - F.coalesce(F.lag(column, distance).over(order), F.lit(0)), F.lit(256)))
+def delta(blobs: DataFrame, distance: int, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
+    """id, pos, delta: each byte less the one ``distance`` before it (0 before the start), modulo 256; a row a byte, made where the blob is."""
+    rows = blobs.select(id_col, F.posexplode(kernels.deltas(distance)(data_col)).alias("pos", "delta"))
+    return rows.withColumn("pos", F.col("pos").cast("long"))

@@ -196,9 +196,7 @@ def decode_timestamps(spark, sf_dir):
 
 @register("delta_encode", f"WITH {BYTES} SELECT blob_id, pos, CAST((byte - coalesce(lag(byte, 2) OVER (PARTITION BY blob_id ORDER BY pos), 0) + 256) % 256 AS INT) AS delta FROM b")
 def delta_encode(spark, sf_dir):
-    rows = blobs(spark, sf_dir).select("blob_id", F.posexplode(F.regexp_extract_all(F.hex("data"), F.lit("(..)"), F.lit(1))).alias("pos", "hx"))
-    rows = rows.select("blob_id", F.col("pos").cast("long").alias("pos"), F.conv("hx", 16, 10).cast("int").alias("byte"))
-    return windows.delta(rows, "byte", 2, "blob_id", "pos").select("blob_id", "pos", "delta")
+    return windows.delta(blobs(spark, sf_dir), 2)
 
 
 @register(
@@ -219,23 +217,44 @@ def rle_runs(spark, sf_dir):
 
 @register(
     "cusum_peak",
-    f"""WITH {window_sql("pos // 256")}, m AS (SELECT blob_id, "offset", round(entropy, 6) AS e, avg(round(entropy, 6)) OVER (PARTITION BY blob_id) AS mean FROM win),
-    wk AS (SELECT blob_id, "offset", abs(sum(e - mean) OVER (PARTITION BY blob_id ORDER BY "offset")) AS raw, round(raw + 2.3e-8, 6) AS walk FROM m)
-    SELECT blob_id, arg_max("offset", walk * 1000000000000 - "offset") AS "offset", round(max(raw) + 2.3e-8, 6) AS peak FROM wk GROUP BY blob_id""",
+    f"""WITH {window_sql("pos // 256")}, m AS (SELECT blob_id, "offset", CAST(round(round(entropy, 6) * 1000000) AS HUGEINT) AS e FROM win),
+    wk AS (SELECT blob_id, "offset", count(*) OVER (PARTITION BY blob_id) AS n,
+      abs(sum(e) OVER o * count(*) OVER (PARTITION BY blob_id) - sum(e) OVER (PARTITION BY blob_id) * count(*) OVER o) AS walk FROM m WINDOW o AS (PARTITION BY blob_id ORDER BY "offset")),
+    f AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY walk DESC, "offset") AS r FROM wk)
+    SELECT blob_id, "offset", CAST(walk AS DOUBLE) / n / 1e6 AS peak FROM f WHERE r = 1""",
 )
 def cusum_peak(spark, sf_dir):
-    samples = _rounded(windows.entropy_tumbling(blobs(spark, sf_dir)), entropy=6)
-    return segmentation.cusum_peak(samples).withColumn("peak", F.round("peak", 6))
+    return segmentation.cusum_peak(_rounded(windows.entropy_tumbling(blobs(spark, sf_dir)), entropy=6))
 
 
 @register(
     "repeated_patterns",
-    """WITH d AS (SELECT doc_id AS blob_id, hex(encode(text)) AS x FROM documents), g AS (SELECT blob_id, unnest(list_transform(range(least(length(x) // 2, 262144) - 15), lambda i: substr(x, 2 * i + 1, 32))) AS pattern FROM d),
-    c AS (SELECT blob_id, pattern, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 4 AND pattern <> repeat(left(pattern, 2), 16)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY n DESC, pattern) AS k FROM c) SELECT blob_id, pattern, n FROM r WHERE k <= 100""",
+    """WITH d AS (SELECT doc_id AS blob_id, encode(text) AS x, strlen(text) AS z FROM documents), l AS (SELECT unnest([15, 16, 17]) AS n),
+    g AS (SELECT blob_id, l.n AS len, unnest(list_transform(range(z - l.n + 1), lambda i: hex(x[i + 1 : i + l.n]))) AS pattern FROM d, l WHERE z // 4 >= l.n),
+    c AS (SELECT blob_id, len, pattern, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 4 AND pattern <> repeat(left(pattern, 2), len)),
+    o AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY n DESC, len DESC, pattern) AS k FROM c),
+    u AS (SELECT blob_id, unnest(list_transform(range(o.len - l.n + 1), lambda i: substr(pattern, 2 * i + 1, 2 * l.n))) AS sub, k FROM o JOIN l ON l.n < o.len),
+    e AS (SELECT blob_id, sub, min(k) AS first FROM u GROUP BY ALL), s AS (SELECT o.* FROM o LEFT JOIN e ON e.blob_id = o.blob_id AND e.sub = o.pattern WHERE first IS NULL OR first > k),
+    r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY k) AS place FROM s) SELECT blob_id, pattern, n FROM r WHERE place <= 100""",
 )
 def repeated_patterns(spark, sf_dir):
-    return segmentation.repeated_patterns(blobs(spark, sf_dir), 16, 4)
+    """Lengths 15 to 17, so that the SQL, which knows no way around comparing all patterns of a text, ends."""
+    return segmentation.repeated_patterns(blobs(spark, sf_dir), (15, 17), 4)
+
+
+@register(
+    "alignment",
+    f"""WITH {BYTES}, w AS (SELECT blob_id, pos, byte <> 32 AS own, count(*) OVER (PARTITION BY blob_id) AS z,
+      sum(CAST(byte = 32 AS INT)) OVER (PARTITION BY blob_id ORDER BY pos ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS near FROM b),
+    e AS (SELECT blob_id, a, own, near FROM w JOIN (SELECT unnest([4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS a) ON pos > 0 AND pos % a = 0 WHERE z >= 16),
+    s AS (SELECT blob_id, a, count(*) FILTER ((near >= 1 AND own) OR near >= 2) AS padded, count(*) AS total FROM e GROUP BY ALL)
+    SELECT blob_id, CAST(a AS INT) AS alignment, padded, total, least(1.0::DOUBLE, padded / total + CASE WHEN a IN (4, 8, 16, 512, 4096) THEN 0.05::DOUBLE ELSE 0.0::DOUBLE END) AS confidence
+    FROM s WHERE padded >= 2 AND padded / total > 0.05""",
+)
+def alignment(spark, sf_dir):
+    """Texts whose spaces are zero bytes."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode(F.replace("text", F.lit(" "), F.lit("\0")), "UTF-8").alias("data"))
+    return segmentation.alignment(rows)
 
 
 @register(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.functions import ladders
+from bytequarry.functions import kernels, ladders
 from bytequarry.operators import detect, intervals, windows
 from bytequarry.plans.catalogue import register
 from bytequarry.plans.stat_queries import BYTES, STATS, blobs
@@ -101,22 +101,17 @@ def high_entropy_spans(spark, sf_dir):
     return windows.high_entropy_spans(samples, 4.2)
 
 
+#: Word, confidence and length of the hits below.
+WORDS = (("the", 0.5, 40), ("The", 0.9, 200), ("de", 0.7, 25), ("der", 0.8, 60))
+
+
 def hits(spark, sf_dir) -> DataFrame:
-    """Places of a few words of documents, as hits of formats named for them."""
-    found = []
-    for word, confidence, length in (("the", 0.5, 40), ("The", 0.9, 200), ("de", 0.7, 25), ("der", 0.8, 60)):
-        text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), "text", F.octet_length("text").cast("long").alias("size"))
-        pieces = F.split("text", word, -1)
-        rows = text.select("blob_id", "size", F.posexplode(F.transform(pieces, lambda x: F.octet_length(x).cast("long"))).alias("i", "len"), F.size(pieces).alias("m"))
-        found.append((rows, word, confidence, length))
-    out = None
-    for rows, word, confidence, length in found:
-        order = Window.partitionBy("blob_id").orderBy("i")
-        at = F.sum(F.col("len") + len(word)).over(order) - len(word)
-        rows = rows.withColumn("offset", at).where("i < m - 1")
-        rows = rows.select("blob_id", "offset", F.lit(word).alias("format"), F.lit(length).cast("long").alias("length"), F.lit(confidence).alias("confidence"), "size")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """Places of a few words of documents, as hits of formats named for them: one scan for all words."""
+    places = F.explode(kernels.word_places([w.encode() for w, _, _ in WORDS])(F.encode("text", "UTF-8"))).alias("p")
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.octet_length("text").cast("long").alias("size"), places)
+    fact = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("p.which") + 1)
+    word, confidence, length = zip(*WORDS)
+    return rows.select("blob_id", "p.offset", fact(word).alias("format"), fact(length).cast("long").alias("length"), fact(confidence).alias("confidence"), "size")
 
 
 def hit_sql() -> str:
