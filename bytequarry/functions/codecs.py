@@ -8,13 +8,18 @@ bombs out.
 from __future__ import annotations
 
 import bz2
+import hashlib
 import lzma
 import zlib
 from collections.abc import Callable
+from decimal import Decimal
+from functools import lru_cache, partial
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 
-from bytequarry.functions import kernels
+from bytequarry.functions import blocks, kernels
 
 ENCODERS: dict[str, Callable[[bytes], bytes]] = {}
 DECODERS: dict[str, Callable[[bytes, int], bytes]] = {}
@@ -81,18 +86,19 @@ def rle_encode(data: bytes) -> bytes:
 def rle_decode(data: bytes, limit: int) -> bytes:
     if len(data) % 2 or 0 in data[::2]:
         raise ValueError("no pairs of a count and a value")
-    return b"".join(bytes((v,)) * n for n, v in zip(data[::2], data[1::2]))[:limit]
+    pairs = np.frombuffer(data, np.uint8).reshape(-1, 2)
+    return np.repeat(pairs[:, 1], pairs[:, 0]).tobytes()[:limit]
 
 
 def delta_encode(data: bytes, distance: int = 1) -> bytes:
-    return bytes((x - y) & 255 for x, y in zip(data, bytes(distance) + data))
+    v = np.frombuffer(data, np.uint8)
+    return (v - np.concatenate([np.zeros(distance, np.uint8), v])[: len(v)]).tobytes()
 
 
 def delta_decode(data: bytes, limit: int, distance: int = 1) -> bytes:
-    out = bytearray(distance)
-    for x in data[:limit]:
-        out.append((x + out[-distance]) & 255)
-    return bytes(out[distance:])
+    v = np.frombuffer(data[:limit], np.uint8)
+    columns = np.concatenate([v, np.zeros(-len(v) % distance, np.uint8)]).reshape(-1, distance)
+    return np.cumsum(columns, 0, dtype=np.uint8).tobytes()[: len(v)]
 
 
 def mtf_encode(data: bytes) -> bytes:
@@ -112,18 +118,35 @@ def mtf_decode(data: bytes, limit: int) -> bytes:
     return bytes(out)
 
 
+def _rotations(data: bytes) -> np.ndarray:
+    """The starts of the sorted rotations, by doubling the length that ranks compare; equal rotations by their start."""
+    rank, size = np.frombuffer(data, np.uint8).astype(np.int64), 1
+    order = np.argsort(rank, kind="stable")
+    while size < len(data):
+        pair = rank * (len(data) + 256) + np.roll(rank, -size)
+        order = np.argsort(pair, kind="stable")
+        ranked = pair[order]
+        rank = np.empty(len(data), np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
+        if rank[order[-1]] == len(data) - 1:
+            break
+        size *= 2
+    return order
+
+
 def bwt_encode(data: bytes) -> bytes:
-    """Index of the text among its sorted rotations, in four bytes, and their last bytes."""
-    n, twice = len(data), data + data
-    order = sorted(range(n), key=lambda i: twice[i : i + n])
-    return (order.index(0) if n else 0).to_bytes(4, "little") + bytes(data[i - 1] for i in order)
+    """Index of the text among its sorted rotations, in four bytes, and their last bytes. Memory is some fifty times the blob."""
+    if not data:
+        return bytes(4)
+    order = _rotations(data)
+    return int(np.flatnonzero(order == 0)[0]).to_bytes(4, "little") + np.frombuffer(data, np.uint8)[order - 1].tobytes()
 
 
 def bwt_decode(data: bytes, limit: int) -> bytes:
     at, last = int.from_bytes(data[:4], "little"), data[4:]
     if len(data) < 4 or last and at >= len(last):
         raise ValueError("no index")
-    follow, out = sorted(range(len(last)), key=lambda i: last[i]), bytearray()
+    follow, out = np.argsort(np.frombuffer(last, np.uint8), kind="stable").tolist(), bytearray()
     for _ in range(min(len(last), limit)):
         at = follow[at]
         out.append(last[at])
@@ -168,6 +191,8 @@ codec("Delta", delta_encode, delta_decode)
 codec("MTF", mtf_encode, mtf_decode)
 codec("BWT", bwt_encode, bwt_decode)
 codec("LZW", lzw_encode, lzw_decode)
+for _name, (_encode, _decode) in blocks.BLOCKS.items():
+    codec(_name, _encode, _decode)
 
 #: Guard against bombs: a larger output of a decoder is an error, never cut.
 OUTPUT_BYTES = 32 << 20
@@ -177,8 +202,9 @@ def output_limit(data: bytes) -> int:
     return OUTPUT_BYTES
 
 
-def decode_whole(name: str, data: bytes) -> bytes:
-    limit = output_limit(data)
+def decode_whole(name: str, data: bytes, limit: int | None = None) -> bytes:
+    """The whole output; one above the limit is an error."""
+    limit = output_limit(data) if limit is None else limit
     out = DECODERS[name](data, limit + 1)
     if len(out) > limit:
         raise ValueError("the output is above the limit")
@@ -199,49 +225,65 @@ def _column(function):
     return run
 
 
-def encode(name: str):
-    return _column(ENCODERS[name])
-
-
-def decode(name: str, limit: int | None = None):
-    return _column(lambda data: decode_whole(name, data) if limit is None else DECODERS[name](data, limit))
+def encode_whole(name: str, data: bytes) -> bytes:
+    return ENCODERS[name](data)
 
 
-def checksum(name: str):
-    """A column function: crc16, crc16_ccitt, crc32, crc32c, crc64 or adler32 of each blob."""
-    table = CRCS.get(name)
+def encode(name: str):
+    return _column(partial(encode_whole, name))
 
-    @kernels.kernel(pa.decimal128(20, 0) if name == "crc64" else pa.int64())
-    def run(blobs: pa.Array) -> pa.Array:
-        from decimal import Decimal
 
-        out = []
-        for blob in blobs.to_pylist():
-            value = None if blob is None else crc(blob, *table) if table else {"crc32": zlib.crc32, "adler32": zlib.adler32}[name](blob)
-            out.append(Decimal(value) if name == "crc64" and value is not None else value)
-        return pa.array(out, pa.decimal128(20, 0) if name == "crc64" else pa.int64())
-
-    return run
+def decode(name: str, limit: int | None = None):
+    return _column(partial(decode_whole, name, limit=limit))
 
 
 # Width, reflected polynomial, start, final xor of the reflected checksums.
 CRCS = {"crc16": (16, 0xA001, 0, 0), "crc16_ccitt": (16, 0x8408, 0, 0), "crc32c": (32, 0x82F63B78, 0xFFFFFFFF, 0xFFFFFFFF), "crc64": (64, 0xC96C5795D7870F42, 2**64 - 1, 2**64 - 1)}
 
 
-def crc_table(polynomial: int) -> list[int]:
+@lru_cache(maxsize=16)
+def crc_table(polynomial: int) -> tuple[int, ...]:
     out = []
     for value in range(256):
         for _ in range(8):
             value = value >> 1 ^ (polynomial if value & 1 else 0)
         out.append(value)
-    return out
+    return tuple(out)
 
 
 def crc(data: bytes, width: int, polynomial: int, start: int, final: int) -> int:
-    table, value = _TABLES.setdefault(polynomial, crc_table(polynomial)), start
+    table, value = crc_table(polynomial), start
     for x in data:
         value = value >> 8 ^ table[(value ^ x) & 255]
     return value ^ final
 
 
-_TABLES: dict[int, list[int]] = {}
+# Functions of a blob, and whether their values need 64 bits without a sign.
+CHECKSUMS: dict[str, tuple[Callable[[bytes], int], bool]] = {
+    **{name: ((lambda data, p=parts: crc(data, *p)), parts[0] == 64) for name, parts in CRCS.items()},
+    "crc32": (zlib.crc32, False), "adler32": (zlib.adler32, False),
+    "xxh32": (lambda data: xxhash.xxh32_intdigest(data), False), "xxh64": (lambda data: xxhash.xxh64_intdigest(data), True),
+}
+
+
+def checksum(name: str):
+    """A column function: one of CHECKSUMS of each blob; those of 64 bits are decimals."""
+    function, wide = CHECKSUMS[name]
+    kind = pa.decimal128(20, 0) if wide else pa.int64()
+
+    @kernels.kernel(kind)
+    def run(blobs: pa.Array) -> pa.Array:
+        values = [None if blob.as_py() is None else function(blob.as_py()) for blob in blobs]
+        return pa.array([Decimal(v) if wide and v is not None else v for v in values], kind)
+
+    return run
+
+
+def blake2b(size: int = 64):
+    """A column function: the BLAKE2b digest of ``size`` bytes in lower-case hexadecimal."""
+
+    @kernels.kernel(pa.string())
+    def run(blobs: pa.Array) -> pa.Array:
+        return pa.array([None if blob.as_py() is None else hashlib.blake2b(blob.as_py(), digest_size=size).hexdigest() for blob in blobs], pa.string())
+
+    return run

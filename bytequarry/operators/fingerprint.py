@@ -15,6 +15,7 @@ from bytequarry.functions import kernels, ladders
 from bytequarry.operators import bytestats
 
 _FACTS = pa.struct([("pairs_low", pa.int64()), ("odd_values", pa.int64()), ("flags9", pa.float64()), ("flags17", pa.float64()), ("table", pa.float64()), ("lengths", pa.int64()), ("lzw_valid", pa.int64()), ("lzw_total", pa.int64())])
+# Fixed values in the rules below: least sizes, thresholds, steps and caps of confidences.
 #: LZW codes that are looked at, and codes with a meaning of their own.
 LZW_CODES = 100
 _CLEAR, _END = 256, 257
@@ -67,6 +68,45 @@ def coding_facts(blobs: pa.Array) -> pa.Array:
     return kernels.each(blobs, _facts, _FACTS)
 
 
+def of_blob(data: bytes) -> list[tuple[str, float]]:
+    """(algorithm, confidence) of the rules for codings that fire on one blob: what ``fingerprints`` gives a table of blobs."""
+    v = np.frombuffer(data, np.uint8)
+    n, out = len(v), []
+    if n < 3:
+        return out
+    facts, counts = _facts(v), kernels.histogram_of(v)
+    head = [int(x) for x in v[:5]]
+    kind, word = head[0] >> 1 & 3, head[0] | head[1] << 8 | head[2] << 16
+    if n >= 5 and kind == 0 and (head[1] | head[2] << 8) ^ (head[3] | head[4] << 8) == 0xFFFF:
+        out.append(("Deflate", 0.85))
+    elif kind == 1:
+        out.append(("Deflate", 0.55))
+    elif n >= 4 and kind == 2 and word >> 3 & 31 <= 29 and word >> 8 & 31 <= 29:
+        out.append(("Deflate", 0.80))
+    pairs = facts["pairs_low"] / (n // 2)
+    rle = min(0.85, 0.3 + pairs * 0.4 + (1 - facts["odd_values"] / 256) * 0.15)
+    if n >= 4 and pairs >= 0.4 and rle >= 0.4:
+        out.append(("RLE", rle))
+    low = counts[:4].sum() / n
+    falls = sum(counts[i] > counts[i + 1] for i in range(3))
+    mtf = min(0.85, 0.3 + 0.2 * (low > 0.5) + 0.1 * (low > 0.7) + 0.15 * (falls >= 3) + 0.1 * (counts[128:].sum() / n < 0.1))
+    if n >= 16 and low >= 0.3 and mtf >= 0.5:
+        out.append(("MTF", mtf))
+    runs, entropy = int((v[1:] != v[:-1]).sum()) + 1, round(float(kernels.entropy_of(counts)), 6)
+    mean_run = (2 * n - runs) / runs
+    bwt = 0.3 + 0.15 * (mean_run > 3) + 0.1 * (mean_run > 5) + 0.1 * (3 < entropy < 7.5) + 0.1 * (runs < n // 2)
+    if n >= 32 and mean_run >= 2 and bwt >= 0.4:
+        out.append(("BWT", min(0.75, bwt)))
+    flags = max(facts["flags9"], facts["flags17"])
+    if n >= 18 and flags >= 0.5:
+        out.append(("LZ/LZSS", min(0.7, 0.3 + flags * 0.4)))
+    if facts["table"] >= 0.7 and 2 <= facts["lengths"] <= 15:
+        out.append(("Huffman", min(0.7, 0.3 + facts["table"] * 0.3 + 0.1 * (facts["lengths"] >= 3))))
+    if facts["lzw_total"] >= 5 and (share := facts["lzw_valid"] / facts["lzw_total"]) >= 0.6:
+        out.append(("LZW", min(0.8, 0.4 + share * 0.4)))
+    return out
+
+
 def _byte(i: int) -> Column:
     return F.conv(F.hex(F.substring("head", i + 1, 1)), 16, 10).cast("int")
 

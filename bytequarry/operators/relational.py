@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 # Extension families of solid blocks, by group number.
 EXTENSION_GROUPS = {
-    0: ".txt .md .csv .json .xml .html .htm .log .yaml .yml .ini .cfg",
-    1: ".cs .c .cpp .h .java .py .js .ts .go .rs .rb .php",
-    2: ".exe .dll .so .dylib .sys .ocx",
-    3: ".doc .docx .xls .xlsx .ppt .pptx .pdf .odt",
+    0: ".cs .java .c .cpp .h .hpp .py .js .ts .go .rs .rb .swift .kt .scala .lua .pl .r .m .mm .f .f90 .asm .s",
+    1: ".xml .html .htm .xhtml .svg .xaml .csproj .sln .slnx .props .targets .json .yaml .yml .toml .ini .cfg .conf .properties",
+    2: ".txt .md .rst .tex .csv .tsv .log .rtf",
+    3: ".exe .dll .so .dylib .sys .obj .o .lib .a .pdb .elf .bin .wasm",
     4: ".jpg .jpeg .png .gif .webp .bmp .ico .tif .tiff",
     5: ".mp3 .mp4 .avi .mkv .wav .flac .aac .ogg .m4a .webm .mov .wmv",
     6: ".zip .rar .7z .gz .bz2 .xz .zst .lz4 .br .lzma .tar",
@@ -73,20 +73,21 @@ def solid_blocks(entries: DataFrame, max_bytes: int, group_col: str = "group", s
 
 
 def common_ends(outputs: DataFrame, most: int = 64, run_col: str = "run", data_col: str = "data") -> DataFrame:
-    """header, footer: hex of the longest common start and end of all outputs, of ``most`` bytes at most."""
-    n = F.octet_length(data_col)
-    position = F.explode(F.sequence(F.lit(1), F.least(n, F.lit(most))))
-    heads = outputs.select(position.alias("p"), F.col(data_col).alias("d")).select("p", F.hex(F.expr("substring(d, p, 1)")).alias("b"))
-    tails = outputs.select(position.alias("p"), F.col(data_col).alias("d")).select("p", F.hex(F.expr("substring(d, -p, 1)")).alias("b"))
-    total = outputs.agg(F.count("*").alias("runs"))
-
-    def agreed(rows: DataFrame, name: str, order: Column) -> DataFrame:
-        same = rows.groupBy("p").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.count("*").alias("m")).join(F.broadcast(total))
+    """header, footer: hex of the longest common start and end of all outputs, of ``most`` bytes at most.
+
+    Only the ends of the outputs leave the scan: ``most`` bytes of each.
+    """
+    ends = outputs.select(F.substring(data_col, 1, most).alias("head"), F.expr(f"right({data_col}, {int(most)})").alias("tail"))
+
+    def agreed(column: str, at: str, name: str, order: Column) -> DataFrame:
+        spots = ends.select(F.explode(F.sequence(F.lit(1), F.lit(most))).alias("p"), F.col(column).alias("d"))
+        byte = F.when(F.col("p") <= F.octet_length("d"), F.hex(F.expr(f"substring(d, {at}, 1)")))
+        same = spots.select("p", byte.alias("b")).groupBy("p").agg(F.min("b").alias("x"), F.max("b").alias("y"), F.count("b").alias("m"), F.count("*").alias("runs"))
         run = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, 0)  # ``most`` rows
         ok = same.withColumn("ok", F.min(((F.col("x") == F.col("y")) & (F.col("m") == F.col("runs"))).cast("int")).over(run)).where("ok = 1")
         return ok.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), "x"))), lambda s: s["x"]), "").alias(name))
 
-    return agreed(heads, "header", F.col("p")).join(agreed(tails, "footer", -F.col("p")))
+    return agreed("head", "p", "header", F.col("p")).join(agreed("tail", "-p", "footer", -F.col("p")))
 
 
 def size_fields(runs: DataFrame, header: int = 32, in_col: str = "input", out_col: str = "output") -> DataFrame:

@@ -7,11 +7,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bytequarry.functions import kernels, ladders, strings
-from bytequarry.operators import bytestats, fingerprint, relational, segmentation, windows
+from bytequarry.operators import bytestats, fingerprint, relational, segmentation, trial, windows
 from bytequarry.plans.catalogue import register
 from bytequarry.plans.stat_queries import BYTES, STATS, blobs
 from bytequarry.plans.window_queries import _rounded, window_sql
 from bytequarry.session import table
+from bytequarry.sources import signatures as S
 
 
 @register("filter_project", "SELECT doc_id, source, CAST(n_chars AS BIGINT) AS n_chars FROM documents WHERE lang = 'en' AND n_chars > 1000")
@@ -24,25 +25,38 @@ def slice_bytes(spark, sf_dir):
     return blobs(spark, sf_dir).select("blob_id", F.hex(relational.slice_bytes(F.col("data"), 16, 32)).alias("part"))
 
 
-INCOMPRESSIBLE = f"WITH {STATS}, i AS (SELECT blob_id FROM s WHERE chi / total > 15)"
+# Blobs of three kinds, by number: 1,024 bytes of digests, a text, a picture's magic before such bytes.
+DIGESTS_SQL = "array_to_string(list_transform(range(32), lambda i: upper(sha256(CAST(doc_id AS VARCHAR) || ':' || CAST(i AS VARCHAR)))), '')"
+MIXED_SQL = f"""m AS (SELECT doc_id AS blob_id, CASE doc_id % 3 WHEN 0 THEN {DIGESTS_SQL} WHEN 1 THEN hex(encode(text)) ELSE '89504E470D0A1A0A' || {DIGESTS_SQL} END AS hx FROM documents),
+b AS MATERIALIZED (SELECT blob_id, unnest(list_transform(regexp_extract_all(hx, '..'), lambda x: ('0x' || x)::INT)) AS byte FROM m),
+h AS (SELECT blob_id, byte, count(*) AS n FROM b GROUP BY ALL), t AS (SELECT blob_id, CAST(sum(n) AS BIGINT) AS total FROM h GROUP BY blob_id),
+s AS (SELECT h.blob_id, total, -sum(n / total * log2(n / total)) AS ent, 256.0::DOUBLE / total * sum(n::DOUBLE * n) - total AS chi,
+  sum(n) FILTER (byte BETWEEN 32 AND 126 OR byte IN (9, 10, 13)) / total > 0.85 AND total >= 8 AS text FROM h JOIN t USING (blob_id) GROUP BY h.blob_id, total)"""
 
 
-def _flat(spark, sf_dir):
-    """Blobs whose bytes are far from even, by chi-square over size; texts are never near 310."""
-    rows = bytestats.with_counts(blobs(spark, sf_dir))
-    return rows.where(bytestats.chi_square(F.col("counts"), F.col("n")) / F.col("n") > 15).select("blob_id")
+def mixed_blobs(spark, sf_dir):
+    """Documents as blobs of the three kinds above."""
+    digests = F.unhex(F.concat(*[F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(f":{i}")), 256) for i in range(32)]))
+    kind = F.pmod("doc_id", F.lit(3))
+    data = F.when(kind == 0, digests).when(kind == 1, F.encode("text", "UTF-8")).otherwise(F.concat(F.unhex(F.lit("89504E470D0A1A0A")), digests))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), data.alias("data"))
+
+
+INCOMPRESSIBLE = f"WITH {MIXED_SQL}, i AS (SELECT blob_id FROM s WHERE chi < 310 AND total >= 64)"
+
+
+def _incompressible(spark, sf_dir):
+    return bytestats.incompressible(mixed_blobs(spark, sf_dir)).where("incompressible").select(F.col("blob_id").alias("doc_id"))
 
 
 @register("semi_join_incompressible", f"{INCOMPRESSIBLE} SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT blob_id FROM i)")
 def semi_join_incompressible(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    return documents.join(_flat(spark, sf_dir).withColumnRenamed("blob_id", "doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+    return table(spark, sf_dir, "documents").join(_incompressible(spark, sf_dir), "doc_id", "left_semi").select("doc_id", "source")
 
 
 @register("anti_join_incompressible", f"{INCOMPRESSIBLE} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT blob_id FROM i)")
 def anti_join_incompressible(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents")
-    return documents.join(_flat(spark, sf_dir).withColumnRenamed("blob_id", "doc_id"), "doc_id", "left_anti").select("doc_id", "source")
+    return table(spark, sf_dir, "documents").join(_incompressible(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "source")
 
 
 @register("lookup_left_join", "SELECT c.c_custkey, n.n_name FROM customer AS c LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2) AS n ON c.c_nationkey = n.n_nationkey")
@@ -69,14 +83,21 @@ def entry_name_filter(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(relational.name_matches(F.col("url"), "685")).select("page_id", "url")
 
 
-GROUPS_SQL = "CASE " + " ".join(f"WHEN lower(regexp_extract(path, '(\\.[^./\\\\]*)$', 1)) IN ({', '.join(repr(e) for e in x.split())}) THEN {g}" for g, x in relational.EXTENSION_GROUPS.items()) + " ELSE -1 END"
-ENTRIES_SQL = "SELECT page_id, page_id AS seq, url || ['.zip', '.TXT', '.PNG', '.html', '', '.exe', '.py'][page_id % 7 + 1] AS path, strlen(html) AS size, page_id % 11 = 0 AS packed FROM pages"
+GROUPS_SQL = r"""CASE WHEN ext IN ('.cs', '.java', '.c', '.cpp', '.h', '.hpp', '.py', '.js', '.ts', '.go', '.rs', '.rb', '.swift', '.kt', '.scala', '.lua', '.pl', '.r', '.m', '.mm', '.f', '.f90', '.asm', '.s') THEN 0
+  WHEN ext IN ('.xml', '.html', '.htm', '.xhtml', '.svg', '.xaml', '.csproj', '.sln', '.slnx', '.props', '.targets', '.json', '.yaml', '.yml', '.toml', '.ini', '.cfg', '.conf', '.properties') THEN 1
+  WHEN ext IN ('.txt', '.md', '.rst', '.tex', '.csv', '.tsv', '.log', '.rtf') THEN 2
+  WHEN ext IN ('.exe', '.dll', '.so', '.dylib', '.sys', '.obj', '.o', '.lib', '.a', '.pdb', '.elf', '.bin', '.wasm') THEN 3
+  WHEN ext IN ('.jpg', '.jpeg', '.png', '.gif', '.webp', '.bmp', '.ico', '.tif', '.tiff') THEN 4
+  WHEN ext IN ('.mp3', '.mp4', '.avi', '.mkv', '.wav', '.flac', '.aac', '.ogg', '.m4a', '.webm', '.mov', '.wmv') THEN 5
+  WHEN ext IN ('.zip', '.rar', '.7z', '.gz', '.bz2', '.xz', '.zst', '.lz4', '.br', '.lzma', '.tar') THEN 6
+  WHEN ext IN ('.db', '.sqlite', '.mdb', '.dat', '.idx') THEN 7 ELSE -1 END"""
+ENTRIES_SQL = r"SELECT *, lower(regexp_extract(path, '(\.[^./\\]*)$', 1)) AS ext FROM (SELECT page_id, page_id AS seq, url || ['.zip', '.TXT', '.PNG', '.html', '', '.exe', '.py', '.hpp', '.tsv', '.toml', '.o'][page_id % 11 + 1] AS path, strlen(html) AS size, page_id % 13 = 0 AS packed FROM pages)"
 
 
 def entries(spark, sf_dir):
-    ext = F.element_at(F.array(*map(F.lit, (".zip", ".TXT", ".PNG", ".html", "", ".exe", ".py"))), (F.pmod("page_id", F.lit(7)) + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, (".zip", ".TXT", ".PNG", ".html", "", ".exe", ".py", ".hpp", ".tsv", ".toml", ".o"))), (F.pmod("page_id", F.lit(11)) + 1).cast("int"))
     rows = table(spark, sf_dir, "pages").select("page_id", F.col("page_id").alias("seq"), F.concat("url", ext).alias("path"), F.octet_length("html").cast("long").alias("size"))
-    return rows.withColumn("group", relational.solid_group(F.col("path"), F.col("page_id") % 11 == 0))
+    return rows.withColumn("group", relational.solid_group(F.col("path"), F.col("page_id") % 13 == 0))
 
 
 @register("solid_groups", f"SELECT page_id, CASE WHEN packed THEN -2 ELSE {GROUPS_SQL} END AS \"group\" FROM ({ENTRIES_SQL})")
@@ -259,17 +280,17 @@ def alignment(spark, sf_dir):
 
 @register(
     "success_rule",
-    f"""WITH {STATS}, x AS (SELECT a.blob_id, a.total AS n_in, a.ent AS e_in, b.total AS n_out, b.ent AS e_out FROM s AS a JOIN s AS b ON b.blob_id = a.blob_id + 1)
-    SELECT blob_id, CASE WHEN n_out = 0 OR n_out > n_in * 100 THEN FALSE WHEN round(e_in - e_out, 6) >= 0.5 AND n_out >= n_in THEN TRUE WHEN n_out > n_in * 1.2 AND round(e_in - e_out, 6) > 0.3 THEN TRUE ELSE FALSE END AS success FROM x""",
+    f"""WITH {MIXED_SQL}, sig(magic, "offset", confidence) AS (VALUES {', '.join(f"('{m.upper()}', {o}, {c}::DOUBLE)" for _, m, o, c, *_ in S.SIGNATURES)}),
+    marked AS (SELECT DISTINCT blob_id FROM m JOIN sig ON confidence >= 0.8 WHERE len(list_filter(range("offset", 32), lambda i: i + length(magic) // 2 <= 32 AND substr(hx, 2 * i + 1, length(magic)) = magic)) > 0 AND length(hx) >= 16),
+    x AS (SELECT a.blob_id, a.total AS n_in, a.ent AS e_in, a.text AS t_in, b.total AS n_out, b.ent AS e_out, b.text AS t_out, b.blob_id IN (SELECT blob_id FROM marked) AS known FROM s AS a JOIN s AS b ON b.blob_id = a.blob_id + 1)
+    SELECT blob_id, CASE WHEN n_out = 0 OR n_out > n_in * 100 THEN FALSE WHEN e_in - e_out >= 0.5 AND n_out >= n_in THEN TRUE WHEN n_out > n_in * 1.2 AND e_in - e_out > 0.3 THEN TRUE
+      WHEN t_out AND NOT t_in THEN TRUE WHEN known THEN TRUE ELSE FALSE END AS success FROM x""",
 )
 def success_rule(spark, sf_dir):
-    """The next document stands for the output of a decoder; texts decode to no new text, so sizes and entropies decide."""
-    rows = bytestats.with_counts(blobs(spark, sf_dir))
-    rows = rows.select("blob_id", "n", bytestats.entropy(F.col("counts"), F.col("n")).alias("e"))
-    other = rows.select((F.col("blob_id") - 1).alias("blob_id"), F.col("n").alias("m"), F.col("e").alias("d"))
-    gain = F.round(F.col("e") - F.col("d"), 6)
-    rule = F.when((F.col("m") == 0) | (F.col("m") > F.col("n") * 100), False).when((gain >= 0.5) & (F.col("m") >= F.col("n")), True)
-    return rows.join(other, "blob_id").select("blob_id", rule.when((F.col("m") > F.col("n") * 1.2) & (gain > 0.3), True).otherwise(False).alias("success"))
+    """The next blob stands for the output of a decoder: texts behind digests, pictures behind texts, digests behind pictures."""
+    rows = mixed_blobs(spark, sf_dir)
+    other = rows.select((F.col("blob_id") - 1).alias("blob_id"), F.col("data").alias("output"))
+    return rows.join(other, "blob_id").select("blob_id", trial.success("data", "output").alias("success"))
 
 
 @register(

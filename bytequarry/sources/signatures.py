@@ -5,8 +5,12 @@ The order of the list is the order of registration, which decides ties.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession
 
+from bytequarry.functions.scan import Signature
+
 # Format, magic in hexadecimal, offset of the magic, confidence, extensions.
 SIGNATURES = [
     ("SevenZip", "377abcaf271c", 0, 0.95, ".7z"),
@@ -89,6 +93,12 @@ SIGNATURES = [
 COMPOUND = [("TarGz", ".tar.gz"), ("TarBz2", ".tar.bz2"), ("TarXz", ".tar.xz"), ("TarZst", ".tar.zst"), ("TarLz4", ".tar.lz4"), ("TarLz", ".tar.lz"), ("TarBr", ".tar.br")]
 
 
+@lru_cache(maxsize=1)
+def known() -> list[Signature]:
+    """The list for functions over bytes."""
+    return [Signature(f, bytes.fromhex(m), o, c) for f, m, o, c, *_ in SIGNATURES]
+
+
 def signatures(spark: SparkSession, extra: list[tuple] | None = None) -> DataFrame:
     """reg_order, format, magic, offset, confidence. The rows are the list's (and ``extra``), so broadcasting them is safe."""
     rows = [(i, f, bytes.fromhex(m), o, c) for i, (f, m, o, c, *_) in enumerate([*SIGNATURES, *(extra or [])])]

@@ -43,14 +43,77 @@ def test_decoders_stop_and_fail_softly(spark):
     assert [r["d"] for r in out] == [None] * 3
 
 
-def test_chain_and_trial(spark):
-    text = b"some text that is long enough to be packed well, again and again. " * 20
-    data = codecs.ENCODERS["Gzip"](codecs.ENCODERS["Bzip2"](text))
-    out = trial.chain_layers(blobs(spark, data)).orderBy("depth").collect()
-    assert [r["algorithm"] for r in out][:1] == ["Gzip"] or out == []
-    tried = {r["algorithm"]: r for r in trial.trial_decode(blobs(spark, codecs.ENCODERS["Gzip"](text))).collect()}
-    limit = codecs.output_limit(codecs.ENCODERS["Gzip"](text))
-    assert tried["Gzip"]["success"] and tried["Gzip"]["output_size"] == min(len(text), limit) and not tried["Xz"]["success"]
+TEXT = b"some text that is long enough to be packed well, again and again. " * 20
+
+
+def test_chains(spark):
+    data = codecs.ENCODERS["Gzip"](codecs.ENCODERS["Bzip2"](TEXT))
+    out = trial.chain_layers(blobs(spark, data, None, b"")).orderBy("depth").collect()
+    assert [(r["blob_id"], r["algorithm"], r["output_size"]) for r in out][:2] == [(0, "Gzip", len(codecs.ENCODERS["Bzip2"](TEXT))), (0, "Bzip2", len(TEXT))]
+    assert all(r["blob_id"] == 0 for r in out) and out[0]["input_size"] == len(data) and out[0]["confidence"] == 0.3
+    packed = archives.create_zip(["a/", "b.txt"], [b"", codecs.ENCODERS["Xz"](TEXT)])
+    layers = trial.chain_of(packed)
+    assert [(x["algorithm"], x["confidence"]) for x in layers[:2]] == [("Zip", 0.9), ("Xz", 0.3)] and layers[1]["output_size"] == len(TEXT)
+    stored = b"\0" + len(TEXT).to_bytes(2, "little") + (len(TEXT) ^ 0xFFFF).to_bytes(2, "little") + TEXT
+    assert ("Deflate", 0.85) in fingerprint.of_blob(stored)
+    pairs = b"".join(bytes((20 + 7 * i % 100, 97 + i % 2)) for i in range(60))
+    (first,) = trial.chain_of(pairs, 1)  # a fingerprint goes before the blind order
+    assert first["algorithm"] == "RLE" and first["confidence"] > 0.4 and first["output_size"] == sum(pairs[::2])
+
+
+def test_trials(spark):
+    packed = codecs.ENCODERS["Gzip"](TEXT)
+    rows = trial.trial_decode(blobs(spark, packed, TEXT[:7], None, b"")).collect()
+    assert [(r["rank"], r["algorithm"], r["kind"], r["error"]) for r in rows if r["blob_id"] == 0] == [(0, "Gzip", "magic", None)]  # a magic stops the slow ones
+    assert not any(r["blob_id"] == 2 for r in rows) and all(r["rank"] is None for r in rows if r["blob_id"] == 3)
+    every = trial.trial_decode(blobs(spark, packed), every=True).collect()
+    done = [r for r in every if r["error"] is None]
+    assert [r["rank"] for r in done] == list(range(len(done))) and [r["output_entropy"] for r in done] == sorted(r["output_entropy"] for r in done)
+    found = {(r["algorithm"], r["kind"]): r for r in every}
+    assert found["Gzip", "stream"]["improved"] and found["Gzip", "stream"]["output_size"] == len(TEXT) and found["Xz", "stream"]["error"]
+    opened = trial.attempts(archives.create_zip(["a"], [TEXT]), True)
+    assert ("Zip", "archive", len(TEXT)) in [a[:3] for a in opened]
+
+
+def test_success_rule():
+    noise = random.Random(1).randbytes(2000)
+    assert trial.succeeded(noise, TEXT * 2) and trial.succeeded(noise, b"plain text here") and not trial.succeeded(TEXT, noise) and not trial.succeeded(noise, b"")
+    assert trial.succeeded(TEXT, b"\x89PNG\r\n\x1a\n" + noise[:50]) and not trial.succeeded(TEXT, noise[:8])
+    assert trial.succeeded(noise, noise[:3] + b"\x28\xb5\x2f\xfd" + noise[:50])  # a signature anywhere in the first bytes
+    assert not trial.succeeded(b"x" * 10, b"y" * 1001) and not trial.succeeded(noise, noise[::-1], "BWT")
+
+
+def test_blob_and_table_fingerprints_agree(spark):
+    draw = random.Random(8)
+    kinds = [TEXT, draw.randbytes(3000), bytes(500), b"ab" * 99, bytes(draw.choices([0, 1, 2, 200], [8, 4, 2, 1], k=900)), b"\x05\x03\x04\x05\x06\x07" + draw.randbytes(40), b"ab", b""]
+    kinds += [codecs.ENCODERS[n](TEXT) for n in ("Deflate", "RLE", "MTF", "BWT", "LZW", "LZSS", "Huffman", "Gzip")] + [draw.randbytes(n) for n in (3, 4, 5, 8, 17, 18, 33)]
+    names = set(trial.SUGGESTED)
+    want = {(i, a): c for i, data in enumerate(kinds) for a, c in fingerprint.of_blob(data)}
+    got = {(r["blob_id"], r["algorithm"]): r["confidence"] for r in fingerprint.fingerprints(blobs(spark, *kinds)).collect() if r["algorithm"] in names}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and len(want) > 10
+
+
+def test_more_checksums(spark):
+    row = blobs(spark, b"abc", None).select(*[codecs.checksum(n)("data").alias(n) for n in ("xxh32", "xxh64")], codecs.blake2b()("data").alias("b")).collect()
+    assert (row[0]["xxh32"], int(row[0]["xxh64"])) == (0x32D153FF, 0x44BC2CF5AD770999) and tuple(row[1]) == (None, None, None)
+    assert row[0]["b"].startswith("ba80a53f981c4d0d") and len(row[0]["b"]) == 128
+
+
+def test_codecs_on_bytes_that_are_not_theirs():
+    draw = random.Random(6)
+    for name, decode in codecs.DECODERS.items():
+        for _ in range(60):
+            try:
+                assert len(decode(draw.randbytes(draw.randint(0, 60)), 5000)) <= 5000, name
+            except Exception as problem:
+                assert not isinstance(problem, (MemoryError, RecursionError, AssertionError)), name
+
+
+def test_incompressible_and_solid_groups(spark):
+    names = {"a.RS": 0, "x/y.csproj": 1, "n.tsv": 2, "l.o": 3, "p.Jpeg": 4, "s.flac": 5, "z.tar": 6, "d.idx": 7, "none": -1, "q.docx": -1}
+    rows = spark.createDataFrame([(n, False) for n in names] + [("a.rs", True)], "name string, packed boolean")
+    got = [(r["name"], r["g"]) for r in rows.select("name", relational.solid_group(F.col("name"), F.col("packed")).alias("g")).collect()]
+    assert got == [*names.items(), ("a.rs", -2)]
 
 
 def test_windows_and_regions(spark):
@@ -121,7 +184,7 @@ def test_solid_blocks_equal_the_greedy_rule(spark):
 def test_strings_and_patterns(spark):
     rows = strings.pattern_hits(blobs(spark, b"\0\0hello\xffworld\0ab", b"", None), "[\\x20-\\x7E]{4,}").collect()
     assert {(r["blob_id"], r["offset"], r["value"]) for r in rows} == {(0, 2, "hello"), (0, 8, "world")}
-    found = segmentation.repeated_patterns(blobs(spark, b"ABCDEFGHIJKLMNOP" * 16), 8).collect()
+    found = segmentation.repeated_patterns(blobs(spark, b"ABCDEFGHIJKLMNOP" * 16), (8, 8)).collect()
     assert {r["n"] for r in found} <= {15, 16} and len(found) == 16
 
 
@@ -163,13 +226,12 @@ def test_field_lengths_up_to_4096_and_of_low_confidence(spark):
 
 def test_trials_decode_whole_outputs_or_fail(monkeypatch):
     for text in (random.Random(4).randbytes(800_000).hex().encode(), b"words and words again. " * 1000):
-        (tried,) = trial._attempts(codecs.ENCODERS["Gzip"](text), ("Gzip",))
-        assert tried[1] == len(text) and tried[4] is None and tried[5] == text
+        assert trial.attempt(codecs.ENCODERS["Gzip"](text), "Gzip", "stream") == text
     packed = codecs.ENCODERS["Gzip"](random.Random(4).randbytes(800_000).hex().encode())
     assert trial.chain_of(packed, 1)[0]["output_size"] == 1_600_000
     monkeypatch.setattr(codecs, "OUTPUT_BYTES", 1000)
-    (tried,) = trial._attempts(codecs.ENCODERS["Gzip"](text), ("Gzip",))
-    assert tried[1:] == (0, None, False, "ValueError", None)
+    with pytest.raises(ValueError):
+        trial.attempt(codecs.ENCODERS["Gzip"](text), "Gzip", "stream")
 
 
 def test_incompressible_reads_the_middle_of_long_blobs(spark):
