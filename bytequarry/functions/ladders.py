@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 REGION = (((1.0, "Constant/empty"), (4.0, "Plaintext/structured"), (6.0, "Structured data"), (7.5, "Dictionary-compressed"), (7.95, "Strong compression")), "Encrypted/random")
 FINGERPRINT = (((4.0, "Plaintext"), (6.0, "Structured"), (7.5, "Dictionary-Compressed"), (7.95, "Strong-Compression")), "Encrypted/Random")
 FINGERPRINT_CONFIDENCE = (((4.0, 0.7), (6.0, 0.5), (7.5, 0.6), (7.95, 0.5)), 0.3)
-BLOCK = (((3.0, "LowEntropy"), (5.5, "MediumEntropy"), (7.5, "HighEntropy")), "Random")
+BLOCK = (((3.0, "LowEntropy"), (5.5, "Structured"), (7.5, "Compressed")), "Random")
 
 
 def ladder(value: Column, steps) -> Column:
@@ -31,7 +31,7 @@ def classify_region(entropy: Column) -> Column:
 
 
 def classify_sliding(entropy: Column) -> Column:
-    return F.when(entropy < 3.0, "Low").when(entropy > 7.0, "High").otherwise("Medium")
+    return F.when(entropy < 3.0, "LowEntropy").when(entropy > 7.0, "HighEntropy").otherwise("MediumEntropy")
 
 
 def classify_block(entropy: Column, zero: Column, signature: Column) -> Column:

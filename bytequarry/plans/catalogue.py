@@ -22,7 +22,7 @@ def register(name: str, sql: str | None = None):
     return keep
 
 
-from bytequarry.plans import carve_queries, codec_queries, relational_queries, stat_queries, window_queries  # noqa: E402, F401  (registers its queries)
+from bytequarry.plans import carve_queries, codec_queries, inspect_queries, relational_queries, stat_queries, window_queries  # noqa: E402, F401  (registers its queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def classify_fingerprint(spark, sf_dir):
     return rows.select("blob_id", ladders.ladder(F.col("entropy"), ladders.FINGERPRINT).alias("algorithm"), ladders.ladder(F.col("entropy"), ladders.FINGERPRINT_CONFIDENCE).alias("confidence"))
 
 
-@register("classify_sliding", f"WITH {STATS} SELECT blob_id, CASE WHEN round(ent, 6) < 3 THEN 'Low' WHEN round(ent, 6) > 7 THEN 'High' ELSE 'Medium' END AS type FROM s")
+@register("classify_sliding", f"WITH {STATS} SELECT blob_id, CASE WHEN round(ent, 6) < 3 THEN 'LowEntropy' WHEN round(ent, 6) > 7 THEN 'HighEntropy' ELSE 'MediumEntropy' END AS type FROM s")
 def classify_sliding(spark, sf_dir):
     return B.classes(counted(spark, sf_dir)).select("blob_id", ladders.classify_sliding(F.col("entropy")).alias("type"))
 
@@ -230,7 +230,7 @@ def classify_sliding(spark, sf_dir):
 @register(
     "classify_block",
     f"""WITH {STATS}, z AS (SELECT blob_id, max(byte) = 0 AS zero FROM h GROUP BY blob_id)
-    SELECT s.blob_id, CASE WHEN zero THEN 'Empty' WHEN starts_with(d.text, 'The') THEN 'HasSignature' ELSE {ladders.ladder_sql('round(ent, 6)', ladders.BLOCK)} END AS type
+    SELECT s.blob_id, CASE WHEN zero THEN 'Empty' WHEN starts_with(d.text, 'The') THEN 'HasSignature' WHEN round(ent, 6) < 3 THEN 'LowEntropy' WHEN round(ent, 6) < 5.5 THEN 'Structured' WHEN round(ent, 6) < 7.5 THEN 'Compressed' ELSE 'Random' END AS type
     FROM s JOIN z USING (blob_id) JOIN documents AS d ON d.doc_id = s.blob_id""",
 )
 def classify_block(spark, sf_dir):

@@ -37,7 +37,7 @@ SLIDING = f"""WITH {BYTES}, z AS (SELECT blob_id, count(*) AS size FROM b GROUP
 st AS (SELECT blob_id, unnest(CASE WHEN size <= 256 THEN [0] ELSE range(0, size - 255, 64) END) AS "offset", least(size, 256) AS length FROM z),
 k AS (SELECT st.blob_id, "offset", length, byte, count(*) AS n FROM st JOIN b ON b.blob_id = st.blob_id AND pos >= "offset" AND pos < "offset" + length GROUP BY ALL),
 win AS MATERIALIZED (SELECT blob_id, "offset", CAST(length AS BIGINT) AS length, 0 - sum(n / length * log2(n / length)) AS entropy FROM k GROUP BY ALL),
-ty AS (SELECT *, CASE WHEN round(entropy, 6) < 3 THEN 'Low' WHEN round(entropy, 6) > 7 THEN 'High' ELSE 'Medium' END AS type FROM win)"""
+ty AS (SELECT *, CASE WHEN round(entropy, 6) < 3 THEN 'LowEntropy' WHEN round(entropy, 6) > 7 THEN 'HighEntropy' ELSE 'MediumEntropy' END AS type FROM win)"""
 
 
 @register("entropy_sliding", f'{SLIDING} SELECT blob_id, "offset", length, round(entropy, 6) AS entropy, type FROM ty')

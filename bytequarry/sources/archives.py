@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bytequarry.functions import kernels
 from bytequarry.functions.codecs import DECODERS
 
 ENTRY = "entry_index int, name string, size long, packed_size long, method string, is_dir boolean, is_encrypted boolean, content binary"
@@ -92,6 +93,29 @@ def create_zip(names: list[str], contents: list[bytes]) -> bytes:
     return out.getvalue()
 
 
+def create_tar(names: list[str], contents: list[bytes]) -> bytes:
+    """An archive without dates and owners, so equal entries give equal bytes."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as archive:
+        for name, content in zip(names, contents):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(content or b"")
+            archive.addfile(entry, io.BytesIO(content or b""))
+    return out.getvalue()
+
+
+@kernels.kernel(pa.binary())
+def zipped(blobs: pa.Array) -> pa.Array:
+    """A column function: a zip of each blob as its only entry."""
+    return pa.array([None if b.as_py() is None else create_zip(["data"], [b.as_py()]) for b in blobs], pa.binary())
+
+
+@kernels.kernel(pa.binary())
+def tarred(blobs: pa.Array) -> pa.Array:
+    """A column function: a tar of each blob as its only entry."""
+    return pa.array([None if b.as_py() is None else create_tar(["data"], [b.as_py()]) for b in blobs], pa.binary())
+
+
 def create_archives(entries: DataFrame, group_col: str, name_col: str = "name", data_col: str = "data") -> DataFrame:
     """group, archive: one zip a group, entries in the order of their names. A group is one archive, and as large as that may be."""
     kind = entries.schema[group_col].dataType.simpleString()
