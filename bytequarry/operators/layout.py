@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.functions import kernels, ladders
+from bytequarry.functions import kernels, ladders, templates
 from bytequarry.operators import windows
 
 #: Blocks of a grid, and bytes of a block that are looked at: more are reached by drilling into the block.
@@ -241,3 +241,20 @@ def partitions(blobs: DataFrame, id_col: str = "blob_id", data_col: str = "data"
         return pa.array([[] if b.as_py() is None else partitions_of(b.as_py()) for b in blobs], _PARTITIONS)
 
     return blobs.select(id_col, F.explode(read(data_col)).alias("p")).select(id_col, "p.*")
+
+
+_FIELDS = pa.list_(pa.struct([("path", pa.string()), ("type", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), ("value", pa.string())]))
+
+
+def parse_struct(blobs: DataFrame, template: str, struct: str | None = None, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
+    """id, path, type, offset, size, value: the fields that a structure template reads from the start of each blob, in order.
+
+    A faulty template is an error before any blob is read. Null and empty blobs have no fields.
+    """
+    templates.parse(template)
+
+    @kernels.kernel(_FIELDS)
+    def read(blobs: pa.Array) -> pa.Array:
+        return pa.array([[] if b.as_py() is None else templates.read(template, b.as_py(), struct) for b in blobs], _FIELDS)
+
+    return blobs.select(id_col, F.explode(read(data_col)).alias("f")).select(id_col, "f.*")

@@ -185,3 +185,33 @@ def text_strings(spark, sf_dir):
     """Documents as two-byte characters."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode("text", "UTF-16LE").alias("data"))
     return strings.text_strings(rows, encodings=("utf-16le",)).drop("encoding")
+
+
+HEADER = """
+struct Header {
+  u8 first;              // of the text
+  u16le pair; u16be turned;
+  i32be number;
+  bits[3] low; bits[7] across; bits[6] high;
+  u24 inner;
+  char[4] word; u8[first] some;
+};
+struct u24 { u8 a; u16le b; };
+"""
+
+
+@register(
+    "parse_struct",
+    f"""WITH {BYTES}, a AS (SELECT blob_id, list(byte ORDER BY pos) AS v, count(*) AS z FROM b WHERE pos < 300 GROUP BY blob_id HAVING count(*) >= 18),
+    f AS (SELECT blob_id, unnest([
+      {{'path': 'first', 'value': CAST(v[1] AS VARCHAR)}}, {{'path': 'pair', 'value': CAST(v[2] + 256 * v[3] AS VARCHAR)}}, {{'path': 'turned', 'value': CAST(256 * v[4] + v[5] AS VARCHAR)}},
+      {{'path': 'number', 'value': CAST(((v[6]::BIGINT * 256 + v[7]) * 256 + v[8]) * 256 + v[9] - CASE WHEN v[6] >= 128 THEN 4294967296 ELSE 0 END AS VARCHAR)}},
+      {{'path': 'low', 'value': CAST(v[10] & 7 AS VARCHAR)}}, {{'path': 'across', 'value': CAST(((v[10] + 256 * v[11]) >> 3) & 127 AS VARCHAR)}}, {{'path': 'high', 'value': CAST(v[11] >> 2 AS VARCHAR)}},
+      {{'path': 'inner', 'value': NULL}}, {{'path': 'inner.a', 'value': CAST(v[12] AS VARCHAR)}}, {{'path': 'inner.b', 'value': CAST(v[13] + 256 * v[14] AS VARCHAR)}},
+      {{'path': 'some', 'value': array_to_string(list_transform(v[19 : 18 + v[1]], lambda x: printf('%02X', x)), '')}}]) AS x, z FROM a)
+    SELECT blob_id, x.path AS path, x.value AS value FROM f WHERE x.path <> 'some' OR z > 18""",
+)
+def parse_struct(spark, sf_dir):
+    """Texts of 18 bytes or more read as a made-up header (the four characters are left out of the result: they may be no ASCII)."""
+    rows = layout.parse_struct(blobs(spark, sf_dir).where("octet_length(data) >= 18"), HEADER)
+    return rows.where("path <> 'word'").select("blob_id", "path", "value")

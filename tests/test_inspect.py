@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from bytequarry.functions import codecs, strings
+from bytequarry.functions import codecs, strings, templates
 from bytequarry.operators import layout, validate
 from bytequarry.sources import archives
 
@@ -120,3 +120,46 @@ def test_find_verbatim_and_tiers(spark):
 def test_rotations_and_window_kernels_on_odd_sizes(spark, size):
     data = random.Random(size).choices(b"abc\0", k=size)
     assert codecs.bwt_decode(codecs.bwt_encode(bytes(data)), size) == bytes(data)
+
+
+def values(kind, data):
+    (row,) = templates.read(f"struct S {{ {kind} x; }};", bytes.fromhex(data))
+    return row["value"]
+
+
+@pytest.mark.parametrize(
+    ("kind", "data", "value"),
+    [
+        ("u8", "ff", "255"), ("i8", "ff", "-1"), ("u16le", "0102", "513"), ("u16be", "0102", "258"), ("i64be", "ff" * 8, "-1"), ("u64le", "ff" * 8, str(2**64 - 1)), ("u128be", "00" * 15 + "0a", "0x" + "0" * 31 + "A"),
+        ("i128le", "fe" + "ff" * 15, "-2"), ("f16le", "003c", "1.0"), ("f32be", "3f800000", "1.0"), ("doublele", "000000000000f03f", "1.0"), ("bf16be", "3f80", "1.0"), ("bf16le", "803f", "1.0"),
+        ("fp8e4m3", "38", "1.0"), ("fp8e4m3", "7f", "nan"), ("fp8e4m3", "7e", "448.0"), ("fp8e5m2", "3c", "1.0"), ("fp8e5m2", "7c", "inf"), ("fp8e5m2", "01", repr(2.0**-16)),
+        ("unixts32le", "80436d38", "2000-01-01T00:00:00"), ("filetime", "00803ed5deb19d01", "1970-01-01T00:00:00"), ("netticks", "00" * 8, "0001-01-01T00:00:00"), ("hfsdate", "7c25b080", "1970-01-01T00:00:00"),
+        ("oledate", "0000000000c8e240", "2005-04-22T00:00:00"), ("dosdate", "2158", "2024-01-01"), ("dostime", "2060", "12:01:00"), ("unix64be", "ff" * 7 + "00", "1969-12-31T23:55:44"),
+        ("q8.8", "80ff", "-0.5"), ("uq16.16", "00800100", "1.5"), ("q32.32", "0000008001000000", "1.5"), ("bcd16", "3412", "1234"), ("bcd8", "9f", "9?"),
+        ("rgb", "010203", "#010203"), ("bgra", "03020104", "#01020304"), ("rgb565", "00f8", "#FF0000"), ("rgba5551", "0100", "#000000FF"), ("rgb555", "e003", "#00FF00"),
+        ("ipv4", "7f000001", "127.0.0.1"), ("ipv6", "00" * 15 + "01", "::1"), ("mac", "0a0b0c0d0e0f", "0A:0B:0C:0D:0E:0F"), ("fourcc", "49484452", "IHDR"), ("bool", "02", "true"),
+        ("guid", "33221100554477668899aabbccddeeff", "00112233-4455-6677-8899-AABBCCDDEEFF"),
+    ],
+)
+def test_field_types(kind, data, value):
+    assert values(kind, data) == value
+
+
+def test_templates(spark):
+    zipped = archives.create_zip(["name.txt"], [TEXT])
+    rows = {r["path"]: (r["offset"], r["size"], r["value"]) for r in templates.read(templates.BUILT_IN["Zip"], zipped)}
+    assert rows["name"] == (30, 8, "name.txt") and rows["method"][2] == "8" and rows["date"][2] == "1980-01-01" and rows["extra"] == (38, 0, "")
+    text = "struct A { u8 n; u16le[n] list; B b; bits[4] lo; bits[12] hi; u8 next; u16be[*] rest; char last; };\nstruct B { char[2] s; } // done"
+    got = [(r["path"], r["type"], r["offset"], r["size"], r["value"]) for r in templates.read(text, bytes.fromhex("02 0100 0200 6869 21 43 09 0001 0002 ff"))]
+    assert got == [
+        ("n", "u8", 0, 1, "2"), ("list", "u16le[2]", 1, 4, None), ("list[0]", "u16le", 1, 2, "1"), ("list[1]", "u16le", 3, 2, "2"), ("b", "B", 5, 0, None), ("b.s", "char[2]", 5, 2, "hi"),
+        ("lo", "bits[4]", 7, 1, "1"), ("hi", "bits[12]", 7, 2, str(0x432)), ("next", "u8", 9, 1, "9"), ("rest", "u16be[2]", 10, 4, None), ("rest[0]", "u16be", 10, 2, "1"), ("rest[1]", "u16be", 12, 2, "2"), ("last", "char", 14, 1, "ÿ"),
+    ]
+    assert templates.read("struct A { u32le a; u8[missing] b; u32le c; };", b"\1\0\0\0\5") [1]["size"] == 0
+    for wrong in ("", "u8 x;", "struct A { u8 x }", "struct A { what x; };", "struct A { u8 x;", "struct A { struct B { } }"):
+        with pytest.raises(ValueError):
+            layout.parse_struct(blobs(spark, b""), wrong)
+    with pytest.raises(ValueError):
+        templates.read("struct A { A again; };", b"x")
+    assert layout.parse_struct(blobs(spark, None, b"", b"\7"), "struct A { u8 x; };").collect()[0][0] == 2
+    assert all(templates.read(t, bytes(100)) for t in templates.BUILT_IN.values())
