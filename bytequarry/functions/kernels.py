@@ -19,8 +19,6 @@ from pyspark.sql.pandas.types import from_arrow_type
 
 from bytequarry.functions import ladders
 
-#: n-gram counts read so many bytes at most.
-NGRAM_BYTES = 256 * 1024
 #: Windows of a blob that are counted at a time (2 KiB each).
 WINDOWS = 8192
 
@@ -97,7 +95,7 @@ def monte_carlo_pi(blobs: pa.Array) -> pa.Array:
 
 
 def _ngrams(v: np.ndarray) -> dict[str, int]:
-    v = v[:NGRAM_BYTES].astype(np.int64)
+    v = v.astype(np.int64)
     out, code = {}, v
     for n, name in ((2, "bigrams"), (3, "trigrams"), (4, "quadgrams")):
         code = code[:-1] << 8 | v[n - 1 :] if len(v) >= n else np.empty(0, np.int64)
@@ -107,7 +105,7 @@ def _ngrams(v: np.ndarray) -> dict[str, int]:
 
 @kernel(NGRAMS)
 def ngram_counts(blobs: pa.Array) -> pa.Array:
-    """Distinct 2-, 3- and 4-byte sequences of the first 256 KiB."""
+    """Distinct 2-, 3- and 4-byte sequences of whole blobs."""
     return each(blobs, _ngrams, NGRAMS)
 
 

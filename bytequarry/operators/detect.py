@@ -5,6 +5,7 @@ The table is a fixed list, so it is broadcast; blobs are never shuffled for it.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from bytequarry.functions import kernels, scan
 #: Bytes of a blob that header detection looks at, and bytes that near matches look at.
 HEADER_BYTES = 4096
 FUZZY_BYTES = 1024
+# Least bytes of a magic and of a near match, factor of a near match's confidence, and matches reported.
+FUZZY_LEAST, FUZZY_FACTOR, FUZZY_TOP = 2, 0.7, 50
 EXTENSION_CONFIDENCE = 0.40
 
 
@@ -61,15 +64,46 @@ def detect(blobs: DataFrame, signatures: DataFrame, extensions: DataFrame, mode:
     return rows.select(id_col, F.coalesce("m", "e").alias("format"), F.coalesce("mc", by_ext).alias("confidence"))
 
 
-def fuzzy_headers(blobs: DataFrame, signatures: DataFrame, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
-    """Near matches at the signature's offset: at least 75 % and two of its bytes, not all; confidence * share * 0.7."""
-    heads = blobs.select(id_col, F.substring(data_col, 1, FUZZY_BYTES).alias("head"))
-    sig = signatures.where(F.octet_length("magic") >= 2).withColumn("hm", F.hex("magic")).withColumn("m", F.octet_length("magic"))
-    same = F.expr("size(filter(sequence(0, m - 1), i -> substring(part, 2 * i + 1, 2) = substring(hm, 2 * i + 1, 2)))")
-    rows = heads.join(F.broadcast(sig), F.octet_length("head") >= F.col("offset") + F.col("m"))
-    rows = rows.withColumn("part", F.expr("hex(substring(head, offset + 1, m))")).withColumn("same", same)
-    rows = rows.where("same >= 2 and same < m and same * 4 >= m * 3")
-    return rows.select(id_col, "format", "reg_order", "same", (F.col("confidence") * F.col("same") / F.col("m") * 0.7).alias("confidence"))
+_HEADERS = pa.list_(pa.struct([("offset", pa.int64()), ("format", pa.string()), ("kind", pa.string()), ("matched", pa.int32()), ("total", pa.int32()), ("confidence", pa.float64())]))
+
+
+def header_matches_of(v: np.ndarray, table: list[scan.Signature], starts: int = FUZZY_BYTES, fuzzy: bool = True, top: int = FUZZY_TOP) -> list[tuple]:
+    """(offset, format, kind, matched, total, confidence): headers that start in the first bytes of a blob, exact or nearly so."""
+    best: dict[tuple[int, str], tuple] = {}
+    for s in table:
+        total = len(s.magic)
+        count = min(starts, len(v), len(v) - s.offset - total + 1)
+        if total < FUZZY_LEAST or count <= 0:
+            continue
+        matched = np.zeros(count, np.int32)
+        for i, byte in enumerate(s.magic):
+            part, mask = v[s.offset + i : s.offset + i + count], 255 if s.mask is None else s.mask[i]
+            matched += (part if mask == 255 else part & mask) == byte
+        near = (matched == total) | (matched * 4 >= total * 3) & (matched >= FUZZY_LEAST) & fuzzy
+        for at in np.flatnonzero(near).tolist():
+            m = int(matched[at])
+            confidence = s.confidence if m == total else s.confidence * (m / total) * FUZZY_FACTOR
+            if confidence > best.get((at, s.format), (0, 0, 0, 0, 0, -1.0))[5]:
+                best[at, s.format] = at, s.format, "Exact" if m == total else "Fuzzy", m, total, confidence
+    return sorted(best.values(), key=lambda r: (-r[5], r[0], r[1]))[:top]
+
+
+def fuzzy_headers(blobs: DataFrame, signatures: DataFrame, fuzzy: bool = True, id_col: str = "blob_id", data_col: str = "data") -> DataFrame:
+    """id, offset, format, kind, matched, total, confidence: headers that start anywhere in the first 1,024 bytes.
+
+    All bytes of a magic of two or more fit (``Exact``), or three quarters of them
+    and two at least (``Fuzzy``: confidence * share * 0.7). Masked bits do not
+    count. Of one format at one offset the most confident match is kept; the 50
+    most confident of a blob are reported, then those with the smallest offset.
+    """
+    table = signature_list(signatures)
+
+    @kernels.kernel(_HEADERS)
+    def matched(blobs: pa.Array) -> pa.Array:
+        rows = [[] if v is None else header_matches_of(v, table, fuzzy=fuzzy) for v in kernels.views(blobs)]
+        return pa.array([[dict(zip(("offset", "format", "kind", "matched", "total", "confidence"), r)) for r in found] for found in rows], _HEADERS)
+
+    return blobs.select(id_col, F.explode(matched(data_col)).alias("h")).select(id_col, "h.*")
 
 
 def signature_list(signatures: DataFrame) -> list[scan.Signature]:

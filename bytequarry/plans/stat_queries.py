@@ -98,7 +98,7 @@ def monte_carlo_pi(spark, sf_dir):
 
 @register(
     "ngram_diversity",
-    f"""WITH {BYTES}, g AS (SELECT blob_id, byte AS a, lead(byte, 1) OVER w AS c, lead(byte, 2) OVER w AS d, lead(byte, 3) OVER w AS e FROM b WHERE pos < 262144 WINDOW w AS (PARTITION BY blob_id ORDER BY pos))
+    f"""WITH {BYTES}, g AS (SELECT blob_id, byte AS a, lead(byte, 1) OVER w AS c, lead(byte, 2) OVER w AS d, lead(byte, 3) OVER w AS e FROM b WINDOW w AS (PARTITION BY blob_id ORDER BY pos))
     SELECT blob_id, count(DISTINCT CASE WHEN c IS NOT NULL THEN a * 256 + c END) AS bigrams, count(DISTINCT CASE WHEN d IS NOT NULL THEN (a * 256 + c) * 256 + d END) AS trigrams,
       count(DISTINCT CASE WHEN e IS NOT NULL THEN ((a * 256 + c) * 256 + d)::BIGINT * 256 + e END) AS quadgrams,
       round(100.0::DOUBLE * count(DISTINCT CASE WHEN c IS NOT NULL THEN a * 256 + c END) / 65536, 6) AS bigram_percent,

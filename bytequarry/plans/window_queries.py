@@ -251,9 +251,12 @@ def setops_formats(spark, sf_dir):
 
 @register(
     "fuzzy_header",
-    f"""WITH {page_sql()}, fz AS (SELECT blob_id, format, reg_order, confidence, length(magic) // 2 AS m, (SELECT count(*) FROM range(length(magic) // 2) AS x(i) WHERE substr(left(hx, 2048), 2 * (sig."offset" + i) + 1, 2) = substr(magic, 2 * i + 1, 2)) AS same
-      FROM pg JOIN sig ON length(magic) >= 4 AND least(length(hx), 2048) // 2 >= sig."offset" + length(magic) // 2)
-    SELECT blob_id, format, reg_order, CAST(same AS INT) AS same, round(confidence * same / m * 0.7, 6) AS confidence FROM fz WHERE same >= 2 AND same < m AND same * 4 >= m * 3""",
+    f"""WITH {page_sql()}, pb AS (SELECT blob_id, length(hx) // 2 AS z, unnest(regexp_extract_all(hx, '..')) AS byte, unnest(range(length(hx) // 2)) AS pos FROM pg),
+    sb AS (SELECT reg_order, format, "offset" AS o, confidence, length(magic) // 2 AS m, unnest(range(length(magic) // 2)) AS i, unnest(regexp_extract_all(magic, '..')) AS byte FROM sig WHERE length(magic) >= 4),
+    mt AS (SELECT blob_id, reg_order, format, confidence, m, pos - i - o AS start, count(*) AS n FROM pb JOIN sb USING (byte) WHERE pos - i - o BETWEEN 0 AND 1023 AND pos - i + m <= z GROUP BY ALL),
+    cf AS (SELECT *, CASE WHEN n = m THEN confidence ELSE confidence * (n / m) * 0.7::DOUBLE END AS c FROM mt WHERE n = m OR n * 4 >= m * 3 AND n >= 2),
+    be AS (SELECT *, row_number() OVER (PARTITION BY blob_id, start, format ORDER BY c DESC, reg_order) AS r FROM cf), tp AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY c DESC, start, format) AS k FROM be WHERE r = 1)
+    SELECT blob_id, start AS "offset", format, CASE WHEN n = m THEN 'Exact' ELSE 'Fuzzy' END AS kind, CAST(n AS INT) AS matched, CAST(m AS INT) AS total, round(c, 6) AS confidence FROM tp WHERE k <= 50""",
 )
 def fuzzy_header(spark, sf_dir):
     return _rounded(detect.fuzzy_headers(pages(spark, sf_dir), S.signatures(spark)), confidence=6)

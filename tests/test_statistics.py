@@ -99,6 +99,16 @@ def test_more_checksums(spark):
     assert row[0]["b"].startswith("ba80a53f981c4d0d") and len(row[0]["b"]) == 128
 
 
+def test_headers_that_are_nearly_right(spark):
+    png = bytes.fromhex("89504e470d0a1a0a")
+    hurt = b"X" * 10 + png[:6] + b"??" + b" " * 30
+    rows = detect.fuzzy_headers(blobs(spark, hurt, png + b"rest", b"", None, b"." * 1030 + png), signatures.signatures(spark)).collect()
+    found = {(r["blob_id"], r["offset"], r["format"]): (r["kind"], r["matched"], r["total"], r["confidence"]) for r in rows}
+    assert found[0, 10, "Png"] == ("Fuzzy", 6, 8, pytest.approx(0.95 * 0.75 * 0.7)) and found[1, 0, "Png"] == ("Exact", 8, 8, 0.95)
+    assert not any(b in (2, 3, 4) and f == "Png" for b, _, f in found)
+    assert not detect.fuzzy_headers(blobs(spark, hurt), signatures.signatures(spark), fuzzy=False).where("format = 'Png'").count()
+
+
 def test_codecs_on_bytes_that_are_not_theirs():
     draw = random.Random(6)
     for name, decode in codecs.DECODERS.items():
@@ -193,6 +203,12 @@ def test_archives(spark):
     made = archives.create_archives(entries, "g")
     out = archives.archive_entries(made, "g", "archive").collect()
     assert {(r["g"], r["name"], r["size"]) for r in out} == {("a", "x.txt", 3), ("a", "y.txt", 300), ("b", "z", 0)}
+    small = archives.create_archives(spark.createDataFrame([("a", f"n{i}", bytearray(b"x" * 100)) for i in range(7)] + [("a", "n3", bytearray(b"y")), (None, "m", None)], "g string, name string, data binary"), "g", archive_bytes=250)
+    parts = {(r["g"], r["volume"]): archives.entries_of(bytes(r["archive"])) for r in small.collect()}
+    names = {k: [e[1] for e in v] for k, v in parts.items()}
+    assert names == {("a", 0): ["n0", "n1", "n2"], ("a", 1): ["n3", "n3", "n4"], ("a", 2): ["n5", "n6"], (None, 0): ["m"]}
+    cut = archives.archive_entries(blobs(spark, archives.create_tar(["one", "two"], [b"1" * 600, b"2" * 600])[:2200])).collect()
+    assert [r["name"] for r in cut if r["error"] is None] == ["one"] and any(r["error"] for r in cut)
     nested = archives.create_zip(["in.zip"], [archives.create_zip(["deep.gz"], [codecs.ENCODERS["Gzip"](b"core")])])
     found = archives.recursive_extract(blobs(spark, nested, b"no archive", None)).collect()
     assert {(r["depth"], r["path"], r["size"]) for r in found if r["depth"] == 3} == {(3, "in.zip/deep.gz/data", 4)}
