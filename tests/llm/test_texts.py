@@ -158,6 +158,40 @@ def test_marginals_are_exact_on_a_chain():
     assert np.abs(got - want / want.sum(1, keepdims=True)).max() < 1e-6
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "+15557713000 5557713000 5557713000 12 5557713000",
+        "a@b.cd a@b.cd, 5557713000 +15557713000 5557713000",
+        "4111111111111111 x 4111-1111-1111-1111 1111111 9 1111111",
+        "10.0.0.1 7 10.0.0.1 10.0.0.1 7",
+    ],
+)
+def test_loopy_documents_agree_with_enumeration(text):
+    """Beliefs of message passing against the sum over all labellings, skip edges and clamped tokens included."""
+    import numpy as np
+
+    field = pii_crf.train(TRAIN)
+    for base in (pii_crf.base_spans(text), []):
+        block = pii_crf._Block([], [], [], [])
+        pii_crf._graph(text, base, block)
+        edges = len(block.near) + len(block.far) + len(block.held)
+        assert block.far and (edges >= len(block.label) or not base)  # loops
+        got = pii_crf.marginals(field, block)
+        unary = np.stack([field.unary[f].sum(0) for f in block.features])
+        want = np.zeros_like(got)
+        choices = [[x] if x else range(5) for x in block.label]
+        for labels in itertools.product(*choices):
+            score = sum(unary[i, x] for i, x in enumerate(labels) if not block.label[i])
+            score += sum(field.near[labels[a], labels[b]] for a, b in block.near) + sum(field.far[labels[a], labels[b]] for a, b in block.far + block.held)
+            for i, x in enumerate(labels):
+                want[i, x] += np.exp(score)
+        want /= want.sum(1, keepdims=True)
+        assert (got.argmax(1) == want.argmax(1)).all() and np.abs(got - want).max() < 0.1
+        sure = want.max(1) >= pii_crf.CONFIDENCE
+        assert (got.max(1)[sure] >= pii_crf.CONFIDENCE - 0.02).all()
+
+
 def slow_bits(counts, order, text, alphabet):
     """Code length by the definition: escape method C with exclusion, byte by byte."""
     import math
