@@ -311,6 +311,42 @@ def fingerprints(spark, sf_dir):
     return fingerprint.fingerprints(blobs(spark, sf_dir))
 
 
+@register(
+    "fingerprint_rules",
+    """WITH d AS (SELECT doc_id AS blob_id, encode(CASE doc_id % 4 WHEN 0 THEN translate(text, 'etaoinsrhldc ', array_to_string(list_transform([1, 2, 3, 1, 2, 1, 3, 1, 2, 1, 1, 2, 1], lambda x: chr(x)), '')) WHEN 1 THEN regexp_replace(text, '(.)', '\\1\\1\\1', 'g')
+      WHEN 2 THEN array_to_string(list_transform([6, 2, 3, 3, 4, 5, 9], lambda x: chr(x)), '') || text ELSE text END) AS x FROM documents),
+    b AS MATERIALIZED (SELECT blob_id, unnest(list_transform(regexp_extract_all(hex(x), '..'), lambda c: ('0x' || c)::INT)) AS byte, unnest(range(octet_length(x))) AS pos FROM d),
+    h AS (SELECT blob_id, byte, count(*) AS n FROM b GROUP BY ALL),
+    s AS (SELECT blob_id, sum(n) AS z, sum(n) FILTER (byte < 4) AS low, coalesce(sum(n) FILTER (byte >= 128), 0) AS high, coalesce(max(n) FILTER (byte = 0), 0) AS n0, coalesce(max(n) FILTER (byte = 1), 0) AS n1,
+      coalesce(max(n) FILTER (byte = 2), 0) AS n2, coalesce(max(n) FILTER (byte = 3), 0) AS n3 FROM h GROUP BY blob_id),
+    e AS (SELECT blob_id, round(-sum(n / z * log2(n / z)), 6) AS ent FROM h JOIN s USING (blob_id) GROUP BY blob_id),
+    r AS (SELECT blob_id, count(*) FILTER (ch) AS runs FROM (SELECT blob_id, byte IS DISTINCT FROM lag(byte) OVER (PARTITION BY blob_id ORDER BY pos) AS ch FROM b) GROUP BY blob_id),
+    f AS (SELECT blob_id, w, count(*) AS k, count(*) FILTER (bit_count(byte) BETWEEN 2 AND 6) / count(*) AS share FROM b JOIN s USING (blob_id), (VALUES (9), (17)) AS v(w) WHERE pos % w = 0 AND pos < z - w GROUP BY ALL),
+    l AS (SELECT blob_id, max(CASE WHEN k >= 3 THEN share ELSE 0 END) AS flags FROM f GROUP BY blob_id),
+    u AS (SELECT blob_id, count(*) FILTER (byte BETWEEN 1 AND 20) / count(*) AS fits, count(DISTINCT byte) FILTER (byte BETWEEN 1 AND 20) AS lengths FROM b JOIN (SELECT blob_id, byte AS first FROM b WHERE pos = 0 AND byte > 0) USING (blob_id) WHERE pos BETWEEN 1 AND first GROUP BY blob_id),
+    a AS (SELECT *, coalesce(low, 0) / z AS lo, (2 * z - runs) / runs AS mr FROM s JOIN e USING (blob_id) JOIN r USING (blob_id) LEFT JOIN l USING (blob_id) LEFT JOIN u USING (blob_id)),
+    c AS (SELECT blob_id, CASE WHEN ent < 4 THEN 'Plaintext' WHEN ent < 6 THEN 'Structured' WHEN ent < 7.5 THEN 'Dictionary-Compressed' WHEN ent < 7.95 THEN 'Strong-Compression' ELSE 'Encrypted/Random' END AS algorithm,
+        CASE WHEN ent < 4 THEN 0.7 WHEN ent < 6 THEN 0.5 WHEN ent < 7.5 THEN 0.6 WHEN ent < 7.95 THEN 0.5 ELSE 0.3 END::DOUBLE AS confidence FROM a WHERE z >= 16
+      UNION ALL SELECT blob_id, 'MTF', least(0.85, 0.3 + CASE WHEN lo > 0.5 THEN 0.2 ELSE 0 END + CASE WHEN lo > 0.7 THEN 0.1 ELSE 0 END + CASE WHEN n0 > n1 AND n1 > n2 AND n2 > n3 THEN 0.15 ELSE 0 END + CASE WHEN high / z < 0.1 THEN 0.1 ELSE 0 END)::DOUBLE FROM a WHERE z >= 16 AND lo >= 0.3
+      UNION ALL SELECT blob_id, 'BWT', least(0.75, 0.3 + CASE WHEN mr > 3 THEN 0.15 ELSE 0 END + CASE WHEN mr > 5 THEN 0.1 ELSE 0 END + CASE WHEN ent > 3 AND ent < 7.5 THEN 0.1 ELSE 0 END + CASE WHEN runs < z // 2 THEN 0.1 ELSE 0 END)::DOUBLE FROM a WHERE z >= 32 AND mr >= 2
+      UNION ALL SELECT blob_id, 'LZ/LZSS', least(0.7::DOUBLE, 0.3 + flags * 0.4) FROM a WHERE z >= 18 AND flags >= 0.5
+      UNION ALL SELECT blob_id, 'Huffman', least(0.7::DOUBLE, 0.3 + fits * 0.3 + CASE WHEN lengths >= 3 THEN 0.1 ELSE 0 END) FROM a WHERE z >= 8 AND fits >= 0.7 AND lengths BETWEEN 2 AND 15)
+    SELECT blob_id, algorithm, round(confidence, 6) AS confidence FROM c WHERE NOT (algorithm = 'MTF' AND confidence < 0.5) AND NOT (algorithm = 'BWT' AND confidence < 0.4)""",
+)
+def fingerprint_rules(spark, sf_dir):
+    """Five rules, over texts of four makes by number: letters that are low bytes, tripled letters, a table of lengths in front, and as they are."""
+    kind, text = F.pmod("doc_id", F.lit(4)), F.col("text")
+    made = (
+        F.when(kind == 0, F.translate("text", "etaoinsrhldc ", "\1\2\3\1\2\1\3\1\2\1\1\2\1"))
+        .when(kind == 1, F.regexp_replace("text", "([^\n])", "$1$1$1"))
+        .when(kind == 2, F.concat(F.lit("\6\2\3\3\4\5\t"), text))
+        .otherwise(text)
+    )
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.encode(made, "UTF-8").alias("data"))
+    found = fingerprint.fingerprints(rows).where(~F.col("algorithm").isin("Deflate", "RLE", "LZW", "Arithmetic"))
+    return found.select("blob_id", "algorithm", F.round("confidence", 6).alias("confidence"))
+
+
 @register(
     "fingerprint_deflate",
     """WITH d AS (SELECT doc_id AS blob_id, octet_length(encode(text)) AS n, list_transform(regexp_extract_all(hex(encode(text)[1:5]), '..'), lambda x: ('0x' || x)::INT) AS b FROM documents),
