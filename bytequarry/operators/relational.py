@@ -104,19 +104,29 @@ def size_fields(runs: DataFrame, header: int = 32, in_col: str = "input", out_co
     return rows.withColumn("r", rank).where("r = 1").select("offset", "width", "endian")
 
 
-def suggest(total: Column, platform: str, single: Column) -> Column:
-    """Scores of archive formats for inputs of ``total`` bytes, as an array of (format, score)."""
+def lookup(rows: DataFrame, table: DataFrame, name_col: str, key_col: str, *columns: str) -> DataFrame:
+    """All of ``rows`` with columns of the table's row whose key is equal whatever the case; null if there is none. The table is small (names of formats, types, codecs) and broadcast."""
+    known = table.select(F.lower(key_col).alias("__key"), *columns).dropDuplicates(["__key"])
+    return rows.join(F.broadcast(known), F.lower(name_col) == F.col("__key"), "left").drop("__key")
+
+
+def suggest(total: Column, platform: str, single: Column, folders: Column | None = None) -> Column:
+    """Scores of archive formats for inputs of ``total`` bytes, as an array of (format, score).
+
+    ``single`` tells of one input file, ``folders`` of a folder among the inputs.
+    """
+    folders = F.lit(False) if folders is None else folders
     mib = 1024 * 1024
     add = lambda when, x: F.when(when, x).otherwise(0)
     on = lambda *names: F.lit(platform in names)
     items = [
         ("Zip", 70 + add(on("cross", "any"), 10) + add(total < 100 * mib, 5)),
         ("SevenZip", 65 + add(total > 10 * mib, 15) + add(on("windows"), 5)),
-        ("TarGz", 55 + add(on("linux"), 25)),
+        ("TarGz", 55 + add(on("linux"), 25) + add(folders, 5)),
         ("TarXz", 50 + add(on("linux"), 20) + add(total > 50 * mib, 10)),
         ("TarZst", 50 + add(total > 100 * mib, 10)),
-        ("Gzip", F.when(single, 60)),
-        ("Zstd", F.when(single, 55)),
+        ("Gzip", F.when(single & ~folders, 60)),
+        ("Zstd", F.when(single & ~folders, 55)),
     ]
     scored = F.array(*[F.struct(F.lit(name).alias("format"), score.cast("int").alias("score")) for name, score in items])
     return F.filter(scored, lambda s: s["score"].isNotNull())

@@ -12,6 +12,7 @@ from bytequarry.plans.catalogue import register
 from bytequarry.plans.stat_queries import BYTES, STATS, blobs
 from bytequarry.plans.window_queries import _rounded, window_sql
 from bytequarry.session import table
+from bytequarry.sources import archives
 from bytequarry.sources import signatures as S
 
 
@@ -59,20 +60,28 @@ def anti_join_incompressible(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(_incompressible(spark, sf_dir), "doc_id", "left_anti").select("doc_id", "source")
 
 
-@register("lookup_left_join", "SELECT c.c_custkey, n.n_name FROM customer AS c LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 2) AS n ON c.c_nationkey = n.n_nationkey")
+@register(
+    "lookup_left_join",
+    """WITH k(name, kind) AS (VALUES ('gzip', 'stream'), ('ZIP', 'archive'), ('Png', 'image')), p AS (SELECT page_id, ['GZIP', 'zip', 'Tar', 'PNG', 'gZip', NULL][page_id % 6 + 1] AS name FROM pages)
+    SELECT page_id, p.name, kind FROM p LEFT JOIN k ON lower(p.name) = lower(k.name)""",
+)
 def lookup_left_join(spark, sf_dir):
-    nations = table(spark, sf_dir, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    return table(spark, sf_dir, "customer").join(nations, "c_nationkey", "left").select("c_custkey", "n_name")
+    names = F.array(*[F.lit(x) for x in ("GZIP", "zip", "Tar", "PNG", "gZip")], F.lit(None).cast("string"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.element_at(names, (F.pmod("page_id", F.lit(6)) + 1).cast("int")).alias("name"))
+    kinds = spark.createDataFrame([("gzip", "stream"), ("ZIP", "archive"), ("Png", "image")], "key string, kind string")
+    return relational.lookup(rows, kinds, "name", "key", "kind")
 
 
 @register(
     "archive_info",
-    """SELECT source, count(*) AS entries, CAST(sum(n_chars) AS BIGINT) AS total_size, count(*) FILTER (n_chars >= 1000) AS large, array_to_string(list_sort(list_distinct(list(lang))), ',') AS methods FROM documents GROUP BY source""",
+    """SELECT source, count(*) AS entries, CAST(sum(strlen(text)) AS BIGINT) AS total_size, count(*) FILTER (strlen(text) >= 1000) AS large, 'Deflate' AS methods FROM documents GROUP BY source""",
 )
 def archive_info(spark, sf_dir):
-    """Sources stand for archives, documents for their entries, languages for methods."""
-    methods = F.array_join(F.sort_array(F.collect_set("lang")), ",")
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("entries"), F.sum("n_chars").alias("total_size"), F.count_if(F.col("n_chars") >= 1000).alias("large"), methods.alias("methods"))
+    """A zip of each source's documents, told by its entries."""
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("name"), F.encode("text", "UTF-8").alias("data"))
+    found = archives.archive_entries(archives.create_archives(rows, "source"), "source", "archive")
+    methods = F.array_join(F.sort_array(F.collect_set("method")), ",")
+    return found.groupBy("source").agg(F.count("*").alias("entries"), F.sum("size").alias("total_size"), F.count_if(F.col("size") >= 1000).alias("large"), methods.alias("methods"))
 
 
 @register(
@@ -296,13 +305,14 @@ def success_rule(spark, sf_dir):
 @register(
     "format_suggest",
     """WITH t AS (SELECT source, sum(n_chars) * 1000 AS total FROM documents GROUP BY source), s AS (SELECT source, unnest([
-      {'format': 'Zip', 'score': 80 + CASE WHEN total < 104857600 THEN 5 ELSE 0 END}, {'format': 'SevenZip', 'score': 65 + CASE WHEN total > 10485760 THEN 15 ELSE 0 END}, {'format': 'TarGz', 'score': 55},
+      {'format': 'Zip', 'score': 80 + CASE WHEN total < 104857600 THEN 5 ELSE 0 END}, {'format': 'SevenZip', 'score': 65 + CASE WHEN total > 10485760 THEN 15 ELSE 0 END}, {'format': 'TarGz', 'score': 55 + CASE WHEN contains(source, 'e') THEN 5 ELSE 0 END},
       {'format': 'TarXz', 'score': 50 + CASE WHEN total > 52428800 THEN 10 ELSE 0 END}, {'format': 'TarZst', 'score': 50 + CASE WHEN total > 104857600 THEN 10 ELSE 0 END}]) AS x FROM t)
     SELECT source, x.format AS format, CAST(x.score AS INT) AS score FROM s""",
 )
 def format_suggest(spark, sf_dir):
+    """Sources with an e in their name stand for inputs with folders."""
     totals = table(spark, sf_dir, "documents").groupBy("source").agg((F.sum("n_chars") * 1000).alias("total"))
-    rows = totals.select("source", F.explode(relational.suggest(F.col("total"), "any", F.lit(False))).alias("x"))
+    rows = totals.select("source", F.explode(relational.suggest(F.col("total"), "any", F.lit(False), F.contains("source", F.lit("e")))).alias("x"))
     return rows.select("source", "x.format", "x.score")
 
 

@@ -232,9 +232,14 @@ def format_distribution(spark, sf_dir):
     return detected(spark, sf_dir).groupBy("format").agg(F.count("*").alias("n"))
 
 
-@register("format_rollup", f"{DETECTED} SELECT format, confidence, count(*) AS n FROM de GROUP BY ROLLUP (format, confidence)")
+@register(
+    "format_rollup",
+    f"""{DETECTED} SELECT category, format, count(*) AS n FROM (SELECT format, CASE WHEN format IN ('Gzip', 'Bzip2', 'Xz', 'Zstd', 'Lz4', 'Lzip', 'Lzop', 'Snappy', 'Compress') THEN 'Stream' WHEN format IN ('Flac', 'Ogg', 'Mp3', 'Midi', 'Riff') THEN 'Audio'
+      WHEN format IN ('Mp4', 'Mkv') THEN 'Video' WHEN format LIKE 'Tar_%' THEN 'CompoundTar' WHEN format IS NOT NULL THEN 'Archive' END AS category FROM de) GROUP BY ROLLUP (category, format)""",
+)
 def format_rollup(spark, sf_dir):
-    return detected(spark, sf_dir).rollup("format", "confidence").agg(F.count("*").alias("n"))
+    rows = detected(spark, sf_dir).withColumn("category", S.category(F.col("format")))
+    return rows.rollup("category", "format").agg(F.count("*").alias("n"))
 
 
 @register(

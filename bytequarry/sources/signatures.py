@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bytequarry.functions.scan import Signature
 
@@ -93,6 +94,23 @@ SIGNATURES = [
 COMPOUND = [("TarGz", ".tar.gz"), ("TarBz2", ".tar.bz2"), ("TarXz", ".tar.xz"), ("TarZst", ".tar.zst"), ("TarLz4", ".tar.lz4"), ("TarLz", ".tar.lz"), ("TarBr", ".tar.br")]
 
 
+# Formats that are no archives, by category; archives are all others.
+CATEGORIES = {
+    "Stream": "Gzip Bzip2 Xz Zstd Lz4 Lzip Lzop Snappy Compress",
+    "CompoundTar": "TarGz TarBz2 TarXz TarZst TarLz4 TarLz TarBr",
+    "Audio": "Flac Ogg Mp3 Midi Riff",
+    "Video": "Mp4 Mkv",
+}
+
+
+def category(form: Column) -> Column:
+    """The category of a format; null for none."""
+    out = F.when(form.isNull(), F.lit(None))
+    for name, forms in CATEGORIES.items():
+        out = out.when(form.isin(forms.split()), F.lit(name))
+    return out.otherwise(F.lit("Archive"))
+
+
 @lru_cache(maxsize=1)
 def known() -> list[Signature]:
     """The list for functions over bytes."""
