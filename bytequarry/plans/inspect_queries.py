@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bytequarry.functions import codecs, strings
-from bytequarry.operators import layout, validate
+from bytequarry.functions import codecs, ladders, strings
+from bytequarry.operators import bytestats, identify, layout, validate
 from bytequarry.plans.catalogue import register
-from bytequarry.plans.stat_queries import BYTES, blobs
+from bytequarry.plans.stat_queries import BYTES, STATS, blobs
 from bytequarry.plans.window_queries import REGION_SQL, _rounded, hit_sql, hits, window_sql
 from bytequarry.session import table
 from bytequarry.sources import archives
@@ -215,3 +215,51 @@ def parse_struct(spark, sf_dir):
     """Texts of 18 bytes or more read as a made-up header (the four characters are left out of the result: they may be no ASCII)."""
     rows = layout.parse_struct(blobs(spark, sf_dir).where("octet_length(data) >= 18"), HEADER)
     return rows.where("path <> 'word'").select("blob_id", "path", "value")
+
+
+@register(
+    "payload_class",
+    f"WITH {STATS} SELECT blob_id, CASE WHEN round(ent, 6) < 1 THEN 'Constant' WHEN round(ent, 6) < 4 THEN 'Uncompressed' WHEN round(ent, 6) < 6.5 THEN 'Structured' WHEN round(ent, 6) < 7.5 THEN 'Compressed' ELSE 'Encrypted' END AS class FROM s",
+)
+def payload_class(spark, sf_dir):
+    rows = bytestats.classes(bytestats.with_counts(blobs(spark, sf_dir)))
+    return rows.select("blob_id", ladders.classify_payload(F.col("entropy")).alias("class"))
+
+
+@register(
+    "special_formats",
+    """WITH p AS (SELECT page_id AS blob_id, page_id % 5 AS k, strlen(html) AS n, hex(encode(html)) AS hx FROM pages),
+    q AS (SELECT *, ['0x' || substr(hx, 3, 2), '0x' || substr(hx, 5, 2), '0x' || substr(hx, 7, 2), '0x' || substr(hx, 9, 2)] AS b FROM p),
+    r AS (SELECT *, b[1]::BIGINT + 256 * b[2]::BIGINT + 65536 * b[3]::BIGINT + 16777216 * b[4]::BIGINT AS size FROM q WHERE n >= 10)
+    SELECT blob_id, CASE k WHEN 0 THEN 'RefPack' WHEN 1 THEN 'RefPack' WHEN 2 THEN 'Lzma' WHEN 3 THEN 'Tar' ELSE CASE WHEN n >= 13 AND size BETWEEN 1 AND 1073741824 THEN 'Lzma' END END AS format FROM r""",
+)
+def special_formats(spark, sf_dir):
+    """Pages behind the marks that the heuristics know, by number."""
+    hexed, h = (lambda x: F.unhex(F.lit(x))), F.encode("html", "UTF-8")
+    kind = F.pmod("page_id", F.lit(5))
+    data = F.when(kind == 0, F.concat(hexed("10fb"), h)).when(kind == 1, F.concat(hexed("f000000011fb"), h)).when(kind == 2, F.concat(hexed("5d00001000"), h))
+    data = data.when(kind == 3, F.concat(hexed("f1" + "00" * 256), F.lit(b"ustar"), h)).otherwise(h)
+    rows = table(spark, sf_dir, "pages").where("octet_length(html) >= 10").select(F.col("page_id").alias("blob_id"), data.alias("data"))
+    return rows.select("blob_id", identify.special_format(F.col("data")).alias("format"))
+
+
+@register(
+    "payload_facts",
+    """WITH d AS (SELECT source, text, strlen(text) AS n FROM documents WHERE strlen(text) > 0),
+    r AS (SELECT source, avg((n + 12) / n) AS avg_ratio FROM d GROUP BY source), c AS (SELECT source, text, count(*) AS k FROM d GROUP BY ALL), t AS (SELECT source, bool_and(TRUE) FILTER (k > 1) AS deterministic FROM c GROUP BY source),
+    b AS (SELECT source, unnest(regexp_extract_all(hex(encode(text)), '..')) AS byte FROM d), h AS (SELECT source, byte, count(*) AS n FROM b GROUP BY ALL), z AS (SELECT source, sum(n) AS z FROM h GROUP BY source),
+    e AS (SELECT source, -sum(n / z * log2(n / z)) AS bits FROM h JOIN z USING (source) GROUP BY source)
+    SELECT source, round(avg_ratio, 6) AS avg_ratio, deterministic, round(bits, 6) AS payload_entropy, bits > 6.5 AS compressed FROM r JOIN t USING (source) JOIN e USING (source)""",
+)
+def payload_facts(spark, sf_dir):
+    """A made-up tool that puts eight bytes before a document and four behind it; sources stand for tools."""
+    data = F.encode("text", "UTF-8")
+    rows = table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("source", data.alias("input"), F.concat(F.lit(b"HEADER01"), data, F.lit(b"FOOT")).alias("output"))
+    return _rounded(identify.payload_facts(rows, 8, 4, group_cols=("source",)), avg_ratio=6, payload_entropy=6)
+
+
+@register("compression_identify")
+def compression_identify(spark, sf_dir):
+    """Documents packed with Bzip2, with the size that they should have."""
+    rows = blobs(spark, sf_dir).where("octet_length(data) > 0").select("blob_id", codecs.encode("Bzip2")("data").alias("data"), F.octet_length("data").alias("n"))
+    return identify.compression_identify(rows, "n")

@@ -6,8 +6,8 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from bytequarry.functions import codecs, strings, templates
-from bytequarry.operators import layout, validate
+from bytequarry.functions import codecs, crypto, ecc, strings, templates
+from bytequarry.operators import identify, layout, validate
 from bytequarry.sources import archives
 
 TEXT = b"some text that is long enough to be packed well, again and again. " * 20
@@ -163,3 +163,40 @@ def test_templates(spark):
         templates.read("struct A { A again; };", b"x")
     assert layout.parse_struct(blobs(spark, None, b"", b"\7"), "struct A { u8 x; };").collect()[0][0] == 2
     assert all(templates.read(t, bytes(100)) for t in templates.BUILT_IN.values())
+
+
+def test_identification(spark):
+    packed = codecs.ENCODERS["Zlib"](TEXT)
+    rows = blobs(spark, packed, None, b"").withColumn("n", F.lit(len(TEXT)))
+    out = identify.compression_identify(rows, "n").collect()
+    assert out and {r["blob_id"] for r in out} == {0}
+    assert ("Zlib", len(TEXT), 1.0) in [(r["codec"], r["output_size"], r["confidence"]) for r in out] and [r["confidence"] for r in out] == sorted((r["confidence"] for r in out), reverse=True)
+    marks = identify.stream_marks(blobs(spark, b".." + packed + b"\x28\xb5\x2f\xfd", bytes(63) + b"\x78\x9c", bytes(64) + b"\x78\x9c", None)).collect()
+    assert (0, 2, "DEFLATE (zlib)") in [tuple(r) for r in marks] and (1, 63, "DEFLATE (zlib)") in [tuple(r) for r in marks] and not any(r["blob_id"] == 2 for r in marks)
+    runs = spark.createDataFrame([(bytearray(b"a" * 10), bytearray(b"H" + bytes(range(256)) + b"F")), (bytearray(b"a" * 10), bytearray(b"H" + bytes(range(256)) + b"G")), (bytearray(b""), bytearray(b"H"))], "input binary, output binary")
+    facts = identify.payload_facts(runs, 1, 1).first()
+    assert (facts["avg_ratio"], facts["deterministic"], facts["payload_entropy"], facts["compressed"]) == (25.8, False, 8.0, True)
+
+
+def test_recovery_blocks():
+    draw = random.Random(5)
+    assert ecc.multiply(2, 0x80) == 0x1D and ecc.multiply(0, 7) == 0
+    for n, extra in ((1, 1), (5, 3), (10, 4), (17, 17)):
+        shards = [draw.randbytes(50) for _ in range(n)]
+        made = ecc.parity(shards, extra)
+        for _ in range(5):
+            gone = draw.sample(range(n + extra), extra)
+            left = [None if i in gone else s for i, s in enumerate(shards)]
+            assert ecc.recover(left, [None if n + i in gone else s for i, s in enumerate(made)]) == shards
+    with pytest.raises(ValueError):
+        ecc.recover([None, b"x"], [None])
+
+
+def test_keys_and_ciphers(spark):
+    rows = spark.createDataFrame([(bytearray(b"password"), bytearray(b"salt")), (None, bytearray(b"salt"))], "p binary, s binary")
+    keys = [r["k"] for r in rows.select(crypto.derived_key(2, 20, "sha1")("p", "s").alias("k")).collect()]
+    assert bytes(keys[0]).hex() == "ea6c014dc72d6f8ccd1ed92ace1d41f0d8de8957" and keys[1] is None
+    key, vector = F.unhex(F.lit("2b7e151628aed2a6abf7158809cf4f3c")), F.unhex(F.lit("000102030405060708090a0b0c0d0e0f"))
+    plain = F.unhex(F.lit("6bc1bee22e409f96e93d7e117393172a"))
+    row = spark.range(1).select(crypto.aes_cbc_encrypt(plain, key, vector).alias("e")).select("e", crypto.aes_cbc_decrypt(F.col("e"), key).alias("d"), crypto.aes_cbc_decrypt(F.substring("e", 1, 20), key).alias("bad")).first()
+    assert bytes(row["e"])[16:32].hex() == "7649abac8119b246cee98e9b12e9197d" and bytes(row["d"]).hex() == "6bc1bee22e409f96e93d7e117393172a" and row["bad"] is None
