@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,8 +29,30 @@ def draw(*parts: Column | str) -> Column:
     return F.conv(digits, 16, 10).cast("double")
 
 
-#: Rows that a Python worker turns into objects at a time, whatever the size of an Arrow batch.
-SLICE_ROWS = 500
+#: Rows that a Python worker turns into objects at a time, and that travel to it at a time.
+SLICE_ROWS, BATCH_ROWS = 500, 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(rows: DataFrame) -> DataFrame:
+    """``rows``, whose texts go to Python workers in batches of BATCH_ROWS at most.
+
+    Spark's own 10,000 rows are many megabytes of text, held on both sides at
+    once. The setting is the session's, and stays: plans read it when they run.
+    """
+    spark = rows.sparkSession
+    if not 0 < int(spark.conf.get(_BATCH)) <= BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return rows
+
+
+def give_back() -> None:
+    """Returns memory that a task has freed to the system, which the workers of later stages share with this one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +60,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(start, SLICE_ROWS)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def training_texts(picked: DataFrame, rows: DataFrame, most_bytes: int, *extra: str) -> list[tuple]:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import WORD, slices
+from bytequarry.llm.common import WORD, give_back, slices, texts_of
 from bytequarry.llm.components import components
 from bytequarry.session import drop_scratch, materialize
 
@@ -43,7 +43,7 @@ BLOCK = 1000
 #: Ids of at most this many documents (8 bytes each) are broadcast, more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Bytes of text that are hashed at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _random = np.random.default_rng(20_240_501)
@@ -203,7 +203,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketches(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, n_shingles, key, packed, bands of every whole text (null: empty, without a key)."""
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text"))
+    rows = texts_of(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("__text")))
     rows = rows.select("doc_id", F.xxhash64("__text").alias("text_hash"), "__text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_sketch, f"doc_id {kind}, text_hash long, n_shingles long, key binary, packed array<long>, bands array<long>")
@@ -310,6 +310,9 @@ def _confirm_across(table: pa.Table) -> pa.Table:
             up[x] = y
             out.append((keys[i], keys[j]))
     a, b = zip(*out) if out else ((), ())
+    if table.nbytes > CHUNK:
+        del sets, texts
+        give_back()
     return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
 

@@ -36,17 +36,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bytequarry.llm.common import slices
+from bytequarry.llm.common import give_back, slices, texts_of
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
 #: Entries of each of the two generations of a cache.
-CACHE = 120_000
+CACHE = 60_000
 #: Characters of the texts whose groups are solved together, and of the longest group that is.
-BATCH_CHARS = 1 << 19
+BATCH_CHARS = 1 << 18
 LONGEST_TOGETHER = 40
 #: Groups of one such pass.
-TOGETHER = 16_384
+TOGETHER = 8_192
 #: Ids of one batch of output rows.
 BATCH_IDS = 1 << 20
 SPACE = "▁"
@@ -511,8 +511,9 @@ def encode_nbest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
             if start < batch.num_rows:
                 yield pack(batch.num_rows)
         pieces.forget()
+        give_back()
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts_of(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, segmentations array<struct<score: double, ids: array<int>>>")
 
@@ -554,7 +555,8 @@ def segmentation_digests(documents: DataFrame, id_col: str = "doc_id", text_col:
             arrays = [pa.array(x, t) for x, t in ((counts, pa.int64()), (sums, pa.int64()), (scores, pa.list_(pa.float64())), (found, pa.int32()), (same, pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["doc_id", "n_tokens", "ids_crc32", "scores", "n_segmentations", "restored"])
         pieces.forget()
+        give_back()
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts_of(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, scores array<double>, n_segmentations int, restored boolean")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import draw, id_text, slices, training_texts
+from bytequarry.llm.common import draw, id_text, slices, texts_of, training_texts
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -373,7 +373,7 @@ def detect(documents: DataFrame, field: Field, id_col: str = "doc_id", text_col:
             spans = pa.array([join_spans(base + x) for base, x in found], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, added, spans], names)
 
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = texts_of(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     kind = rows.schema["doc_id"].dataType.simpleString()
     counts = ", ".join(f"n_{k} long" for k in KINDS)
     return rows.mapInArrow(run, f"doc_id {kind}, {counts}, base_sha256 string, n_added long, spans string")
@@ -401,4 +401,4 @@ def redact(documents: DataFrame, field: Field, text_col: str = "text") -> DataFr
             clean = [t if t is None else redact_text(t, base + x) for t, (base, x) in zip(texts, found)]
             yield batch.set_column(column, batch.schema.names[column], pa.array(clean, pa.string()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return texts_of(documents).mapInArrow(run, documents.schema)

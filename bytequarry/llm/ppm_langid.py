@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from bytequarry.llm.common import draw, id_text, slices, training_texts
+from bytequarry.llm.common import draw, id_text, slices, texts_of, training_texts
 
 #: Longest context in bytes.
 ORDER = 4
@@ -36,7 +36,7 @@ DEALT = 32
 UNDETERMINED = "und"
 #: Lanes that walk the automaton side by side, and bytes of texts scored at a time.
 LANES = 4096
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 _BREAK = 0xFF  # never a byte of UTF-8
 
@@ -246,4 +246,4 @@ def predict(documents: DataFrame, model: Model | None, text_col: str = "text") -
             columns = [*batch.columns, pa.array(found, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score"])
 
-    return documents.mapInArrow(run, schema)
+    return texts_of(documents).mapInArrow(run, schema)

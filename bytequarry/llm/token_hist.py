@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bytequarry.llm.common import slices
+from bytequarry.llm.common import slices, texts_of
 from bytequarry.session import materialize
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -66,7 +66,7 @@ def encoded_lengths(documents: DataFrame, text_col: str = "text", tokenizer: str
             lengths = [count_tokens(encoder, t) if t else 0 for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["tokens"])
 
-    return documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "tokens long")
+    return texts_of(documents.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(count, "tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
