@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bytequarry.llm import minhash_bbit, mixing, nbest_pieces, pii_crf, ppm_langid
-from bytequarry.session import materialize, table
+from bytequarry.session import drop_scratch, materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_scratch(before)  # nothing reads the stage before the last any more
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
